@@ -327,4 +327,6 @@ def with_tables(body: str, *tables: str, floats: Sequence[str] = ()) -> str:
     if floats:
         repl = ", ".join(f'round(cast("{c}" as double), 6) + 0.0 as "{c}"' for c in floats)
         body = f"select * replace ({repl}) from (\n{body}\n) as result"
+    elif body.lstrip().startswith("with"):
+        body = f"select * from (\n{body}\n) as result"
     return f"with {ctes}\n{body}" if ctes else body

@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -30,7 +31,7 @@ def _chi2_tail(x: float, dof: int) -> float:
     return min(tail, 1.0)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def chi2_p_value(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(x) or pd.isna(d) else 1.0 if d == 0 else _chi2_tail(float(x), int(d))
@@ -38,7 +39,7 @@ def chi2_p_value(stat: pd.Series, dof: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(v / math.sqrt(2.0)) if v > 0 else 1.0, na_action="ignore")
 
