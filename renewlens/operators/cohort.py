@@ -16,6 +16,7 @@ from renewlens.operators.ladder import quantiles
 from renewlens.session import stage
 
 KEY = ["Co_Ref", "Renewal_Year"]
+MAX_BANDS = 1000
 
 
 # --- filters and projections ------------------------------------------------
@@ -128,8 +129,8 @@ def attach_label_inner(
 
 
 def fill_numeric_zero(df: DataFrame) -> DataFrame:
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    return df.withColumns({c: F.coalesce(F.col(fn.quoted(c)), F.lit(0)) for c in numeric})
+    """Missing values of all numeric columns become 0; text and dates stay as they are."""
+    return df.fillna(0)
 
 
 def check_unique_and_count(
@@ -248,11 +249,12 @@ def band_enc_sorted(df: DataFrame) -> DataFrame:
     """Ordinal of the band in the sorted list of bands that occur; unknown or missing gives -1.
 
     The list is an ordered array from one aggregate, looked up by position, so no join is needed.
-    Its size is the number of band codes, which the domain keeps small.
+    Bands are a short code list; a column with more codes than that is refused.
     """
-    bands = df.where(F.col("Band").isNotNull()).agg(
-        F.array_sort(F.collect_set("Band")).alias("bands")
-    ).scalar()
+    codes = df.where(F.col("Band").isNotNull()).select("Band").distinct()
+    if codes.limit(MAX_BANDS + 1).count() > MAX_BANDS:
+        raise ValueError(f"more than {MAX_BANDS} different bands")
+    bands = codes.agg(F.array_sort(F.collect_set("Band")).alias("bands")).scalar()
     enc = F.array_position(bands, F.col("Band")).cast("int") - 1
     last = F.nullif(F.array_position(bands, F.col("Last_Band")).cast("int"), F.lit(0)) - 1
     return df.withColumns({

@@ -40,7 +40,9 @@ def stratified_folds(
     df: DataFrame, label: str, k: int, key: str | Sequence[str] = "Co_Ref", seed: int = 42,
     name: str = "fold",
 ) -> DataFrame:
-    """Fold number 0..k-1 per row; fold sizes differ by at most one within each label.
+    """Fold number 0..k-1 per labelled row; fold sizes differ by at most one within each label.
+
+    ``key`` identifies a row, as (customer, year) does in the feature table.
 
     The exact round robin needs the position of each row within its label. Rows get a hash bucket
     first, positions are counted inside (label, bucket), and the bucket totals below are added. So a

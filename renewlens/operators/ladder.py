@@ -3,9 +3,10 @@
 Rank tests, ROC and precision-recall curves, two-sample distances and exact quantiles all need counts
 of rows at or below a value. A window over the whole table would put everything into one task. Here:
 
-1. rows are reduced to one row per distinct value with its class counts (partial aggregation first);
-2. cut points from a mergeable quantile sketch split the value range into ordered buckets. They only
-   balance the work and never change the result, so a sketch is enough. At most one double per
+1. rows are reduced to one row per distinct value with its class counts (partial aggregation first)
+   and staged, so the input is read exactly once;
+2. cut points from a mergeable quantile sketch split the distinct values into ordered buckets. They
+   only balance the work and never change the result, so a sketch is enough. At most one double per
    shuffle partition reaches the driver, and as literals the buckets are the same on every retry;
 3. running sums inside a bucket and totals of the buckets below it add up to the global count.
 """
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from renewlens.functions import scalars as fn
+from renewlens.session import stage
 
 MAX_BUCKETS = 4096
 
 
 def cut_points(df: DataFrame, value: Column, buckets: int) -> list[float]:
-    """At most ``buckets - 1`` increasing values that split the rows about evenly."""
+    """At most ``buckets - 1`` increasing values that split the rows into about equal parts."""
     if buckets < 2:
         return []
     probs = [i / buckets for i in range(1, buckets)]
@@ -52,10 +54,12 @@ def score_ladder(
     for name in by:
         rows = rows.where(F.col(name).isNotNull())
 
-    steps = rows.groupBy(*by, v.alias("value")).agg(
-        *[F.sum(c).cast("bigint").alias(f"n_{name}") for name, c in counts.items()]
+    steps = stage(
+        rows.groupBy(*by, v.alias("value")).agg(
+            *[F.sum(c).cast("bigint").alias(f"n_{name}") for name, c in counts.items()]
+        )
     )
-    cuts = cut_points(rows, v, buckets)
+    cuts = cut_points(steps, F.col("value"), buckets)
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]
         steps = Bucketizer(splits=splits, inputCol="value", outputCol="_bucket").transform(steps)

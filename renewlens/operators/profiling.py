@@ -110,7 +110,8 @@ def classify_columns(
 ) -> DataFrame:
     """id / numeric / yes-no flag / free text, from the schema and the distinct values.
 
-    Distinct values are counted through (column, value) rows, so long text never gathers in a set.
+    Distinct values are counted through (column, value) rows, so long text never gathers in a set;
+    text that is too long to be a flag travels as its digest.
     """
     kinds, text = {}, []
     for f in df.schema.fields:
@@ -124,9 +125,11 @@ def classify_columns(
     fixed = spark.createDataFrame(list(kinds.items()) or [], "column string, kind string")
     if not text:
         return fixed
-    long = df.select(*[F.col(quoted(c)).cast("string").alias(c) for c in text]).unpivot(
-        [], text, "column", "value"
-    )
+    def short(c: str) -> Column:
+        v = F.col(quoted(c)).cast("string")
+        return F.when(F.length(v) > 64, F.sha2(v, 256)).otherwise(v)
+
+    long = df.select(*[short(c).alias(c) for c in text]).unpivot([], text, "column", "value")
     value = F.col("value")
     per_column = (
         long.groupBy("column", "value")

@@ -13,6 +13,7 @@ from renewlens.functions import buckets
 from renewlens.functions.scalars import flag
 from renewlens.operators import behaviour as b
 from renewlens.operators import cohort as c
+from renewlens.session import stage
 
 
 def build_cohort_features(
@@ -46,11 +47,16 @@ def build_cohort_features(
 def train_test_predict(
     bills: DataFrame, cc: DataFrame, rc: DataFrame, train_year: int = 2024, test_year: int = 2025
 ) -> dict[str, DataFrame]:
-    """The three tables of the workflow: labelled train, labelled test, unlabelled scoring."""
+    """The three tables of the workflow: labelled train, labelled test, unlabelled scoring.
+
+    Cut-offs are per year, so both years come from one build that is written once.
+    """
+    both = stage(build_cohort_features(bills, cc, rc, [train_year, test_year]))
+    test = both.where(F.col("Renewal_Year") == test_year)
     return {
-        "train": build_cohort_features(bills, cc, rc, train_year),
-        "test": build_cohort_features(bills, cc, rc, test_year),
-        "predict": build_cohort_features(bills, cc, rc, test_year, include_labels=False),
+        "train": both.where(F.col("Renewal_Year") == train_year),
+        "test": test,
+        "predict": test.drop("churn_label", "outcome_post_renewal"),
     }
 
 
