@@ -392,9 +392,7 @@ SPECS = [
 )
 def hypothesis_table(t: Tables) -> DataFrame:
     """The feature table has no payment flag, so H7 is skipped like any absent feature."""
-    from renewlens.session import stage
-
-    return hypothesis_summary(stage(t.features), SPECS)
+    return hypothesis_summary(t.features, SPECS)
 
 
 @query(

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from itertools import combinations
 from math import factorial
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from renewlens.functions.scalars import quoted
 from renewlens.operators.model import booster, feature_names
 from renewlens.session import shared_dir
 
@@ -28,11 +30,9 @@ BASE = "base_value"
 
 
 def tree_table(spark: SparkSession, model: PipelineModel, path: str | None = None) -> DataFrame:
-    """Nodes of all trees as rows, read back from the saved model."""
+    """Nodes of all trees as rows, read back from the saved booster (saved first without a path)."""
     if path is None:
-        import uuid
-
-        path = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/trees-{uuid4().hex}"
         booster(model).write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
     n = nodes.select(F.col("nodeData.*"), "treeID")
@@ -123,7 +123,7 @@ def explain(
     df: DataFrame,
     model: PipelineModel,
     keep: Sequence[str] = ("Co_Ref",),
-    model_path: str | None = None,
+    booster_path: str | None = None,
 ) -> DataFrame:
     """``keep`` columns, the contribution array (in feature order) and the base value, per row.
 
@@ -131,7 +131,7 @@ def explain(
     """
     spark = df.sparkSession
     names = feature_names(model)
-    nodes = tree_table(spark, model, model_path)
+    nodes = tree_table(spark, model, booster_path)
     n = nodes.count()
     if n > MAX_NODES:
         raise ValueError(f"{n} tree nodes are too many to send to the tasks")
@@ -145,8 +145,6 @@ def explain(
             out[CONTRIBUTIONS] = list(contributions_of(x, shared.value))
             yield out
 
-    from renewlens.functions.scalars import quoted
-
     inputs = df.select(
         *keep,
         *[F.col(quoted(c)).cast("double").alias(f"f{i}") for i, c in enumerate(names)],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from renewlens import schema as s
 from renewlens.operators.profiling import feature_lift
 from renewlens.operators.stattests import chi_square_tests, mann_whitney_tests
+from renewlens.session import stage
 
 
 def hypothesis_summary(
@@ -19,7 +20,8 @@ def hypothesis_summary(
 ) -> DataFrame:
     """One row per hypothesis; features the table lacks are skipped.
 
-    Chi-square rows carry churn at 0 and 1 and the lift, rank-test rows the two means.
+    Chi-square rows carry churn at 0 and 1 and the lift, rank-test rows the two means. The columns
+    under test are staged once; three kinds of jobs read them.
     """
     specs = [(i, h, f, kind) for i, (h, f, kind) in enumerate(specs) if f in df.columns]
     spark = df.sparkSession
@@ -31,6 +33,7 @@ def hypothesis_summary(
         "significant boolean"
     binary = [f for _, _, f, kind in specs if kind == "Chi-square"]
     ranked = [f for _, _, f, kind in specs if kind == "Mann-Whitney"]
+    df = stage(df.select(label, *dict.fromkeys(binary + ranked)))
     results = spark.createDataFrame([], columns)
     none = F.lit(None).cast("double")
     if binary:
