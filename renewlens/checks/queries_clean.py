@@ -115,14 +115,13 @@ def normalise_null_tokens(t: Tables) -> DataFrame:
 
 @query(
     "S07 S08 X10",
-    """select Co_Ref, Renewal_Year, band_enc, total_negative_flags, churn_label
-       from features where Renewal_Year = 1997""",
+    "select Co_Ref, Renewal_Year, band_enc, total_negative_flags, churn_label from features",
     ["features"],
 )
 def write_and_read_features(t: Tables) -> DataFrame:
     path = _folder(t)
     src.write_features(t.features, path)
-    return src.read_features(t.spark, path).where(F.col("Renewal_Year") == 1997).select(
+    return src.read_features(t.spark, path).select(
         "Co_Ref", "Renewal_Year", "band_enc",
         F.col("total_negative_flags").cast("int").alias("total_negative_flags"), "churn_label",
     )

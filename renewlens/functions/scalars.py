@@ -92,11 +92,16 @@ def iso_order(c: str) -> Column:
 
 
 def parse_iso_order(c: str) -> Column:
-    """Timestamp from the text of :func:`iso_order`; the shape is checked before parsing."""
+    """Timestamp from the text of :func:`iso_order`; the shape is checked before parsing.
+
+    The source dates name no zone, so the result has none either: 28 days stay 28 days in every
+    session time zone.
+    """
     named = f"initcap(regexp_replace({c}, '[ -]+', ' '))"
     return F.expr(
-        f"case when {c} rlike r'{s.ISO_SHAPE}' then try_cast({c} as timestamp) "
-        f"when {c} rlike r'{s.NAMED_MONTH_SHAPE}' then try_to_timestamp({named}, 'd MMM yyyy') end"
+        f"case when {c} rlike r'{s.ISO_SHAPE}' then try_cast({c} as timestamp_ntz) "
+        f"when {c} rlike r'{s.NAMED_MONTH_SHAPE}' "
+        f"then cast(try_to_timestamp({named}, 'd MMM yyyy') as timestamp_ntz) end"
     )
 
 

@@ -37,7 +37,7 @@ def _numbers(df: DataFrame, names: Iterable[str]) -> dict[str, Column]:
 
 def _dates(df: DataFrame, names: Iterable[str]) -> DataFrame:
     text = [c for c in names if _is_text(df.schema, c)]
-    typed = {c: F.col(c).cast("timestamp") for c in names if c not in text}
+    typed = {c: F.col(c).cast("timestamp_ntz") for c in names if c not in text}
     df = df.withColumns(typed) if typed else df
     return fn.parse_dayfirst(df, *text) if text else df
 

@@ -10,7 +10,6 @@ Spark distributes the rows; the model is small by construction (trees x leaves)
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations
 from math import factorial
 from uuid import uuid4
 
@@ -52,23 +51,21 @@ def _pattern_table(zero: Sequence[float], value: float) -> np.ndarray:
     """Contribution of one leaf to each path feature, for every pattern of satisfied features.
 
     ``zero[j]`` is the share of cover that follows the path at feature j. Bit j of the pattern says
-    whether the row itself follows it. Weights are those of the Shapley average over orderings.
+    whether the row itself follows it. The average over orderings groups the other features by how
+    many of them are known: those sums are the coefficients of prod (zero_i + one_i t).
     """
     m = len(zero)
+    one = (np.arange(2**m)[:, None] >> np.arange(m) & 1).astype(float)
+    weight = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
     out = np.zeros((2**m, m))
-    for pattern in range(2**m):
-        one = [float(pattern >> j & 1) for j in range(m)]
-        for j in range(m):
-            others = [i for i in range(m) if i != j]
-            total = 0.0
-            for size in range(m):
-                weight = factorial(size) * factorial(m - size - 1) / factorial(m)
-                for known in combinations(others, size):
-                    share = 1.0
-                    for i in others:
-                        share *= one[i] if i in known else zero[i]
-                    total += weight * share
-            out[pattern, j] = total * (one[j] - zero[j]) * value
+    for j in range(m):
+        poly = np.zeros((2**m, m))
+        poly[:, 0] = 1.0
+        for i in range(m):
+            if i != j:
+                poly[:, 1:] = poly[:, 1:] * zero[i] + poly[:, :-1] * one[:, [i]]
+                poly[:, 0] *= zero[i]
+        out[:, j] = (poly @ weight) * (one[:, j] - zero[j]) * value
     return out
 
 
