@@ -31,7 +31,6 @@ def _union(parts: list[str]) -> str:
          (sum(n1) over ())::bigint as tot_1 from (
            select score, sum(1 - label) as n0, sum(label) as n1 from scored group by 1)""",
     ["scored"],
-    ["value"],
 )
 def score_ladder(t: Tables) -> DataFrame:
     return class_ladder(t.scored, "score", "label")
@@ -45,7 +44,6 @@ def score_ladder(t: Tables) -> DataFrame:
            select Renewal_Year, score, sum(1 - label)::bigint as n0, sum(label)::bigint as n1
            from scored group by 1, 2)""",
     ["scored"],
-    ["value"],
 )
 def score_ladder_by_year(t: Tables) -> DataFrame:
     return class_ladder(t.scored, "score", "label", ["Renewal_Year"]).drop("cum_0", "tot_0")
@@ -70,7 +68,7 @@ def exact_quantiles(t: Tables) -> DataFrame:
     """select t as threshold, precision, recall from curve
        union all select null, 1.0, 0.0""",
     ["curve"],
-    ["threshold", "precision", "recall"],
+    ["precision", "recall"],
 )
 def pr_curve(t: Tables) -> DataFrame:
     return e.pr_curve(t.scored, "score", "label")
@@ -80,7 +78,7 @@ def pr_curve(t: Tables) -> DataFrame:
     "E04",
     "select t as threshold, fp::double / n_neg as fpr, tp::double / n_pos as tpr from ladder",
     ["ladder"],
-    ["threshold", "fpr", "tpr"],
+    ["fpr", "tpr"],
 )
 def roc_curve(t: Tables) -> DataFrame:
     return e.roc_curve(t.scored, "score", "label")
