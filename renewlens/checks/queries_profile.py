@@ -442,10 +442,11 @@ def describe_by_outcome(t: Tables) -> DataFrame:
 
 @query(
     "P23",
-    """with r as (select min(Total_Net_Paid) as lo, max(Total_Net_Paid) as hi from bills)
-       select bin, min(lo + (hi - lo) * bin / 30) as lo, count(*) as n from (
-         select least(floor((Total_Net_Paid - lo) / (hi - lo) * 30), 29)::integer as bin, lo, hi
-         from bills, r where Total_Net_Paid is not null) group by 1""",
+    """with r as (select min(Total_Net_Paid) as lo,
+           (max(Total_Net_Paid) - min(Total_Net_Paid)) / 30 as step from bills)
+       select bin, min(lo + bin * step) as lo, count(*) as n from (
+         select least(len(list_filter(range(0, 30), lambda i: lo + i * step <= Total_Net_Paid)) - 1, 29)
+           ::integer as bin, lo, step from bills, r where Total_Net_Paid is not null) group by 1""",
     ["bills"],
     ["lo"],
 )

@@ -179,13 +179,13 @@ def classification_metrics_by_year(t: Tables) -> DataFrame:
 
 @query(
     "E09",
-    """select th as threshold, round(coalesce(caught::double / nullif(flagged, 0), 0), 3) as precision,
+    """select round(th, 2) as threshold, round(coalesce(caught::double / nullif(flagged, 0), 0), 3) as precision,
          round(coalesce(caught::double / nullif(actual, 0), 0), 3) as recall,
          round(coalesce(2.0 * caught / nullif(flagged + actual, 0), 0), 3) as f1, flagged, caught
        from (select th, sum(case when score >= th then 1 else 0 end)::bigint as flagged,
            sum(case when score >= th then label else 0 end)::bigint as caught,
            sum(label)::bigint as actual
-         from scored, (select unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]) as th)
+         from scored, (select 0.05::double + 0.05::double * i as th from range(10) g(i))
          group by th)""",
     ["scored"],
     ["threshold", "precision", "recall", "f1"],
@@ -225,7 +225,8 @@ def tier_distribution(t: Tables) -> DataFrame:
 
 @query(
     "E12",
-    """select floor(score * 10)::integer as bin, avg(score) as mean_score,
+    """select (len(list_filter(range(0, 10), lambda i: i * 0.1::double <= score)) - 1)::integer as bin,
+         avg(score) as mean_score,
          avg(label::double) as actual_rate, count(*) as n from scored
        where score >= 0 and score < 1 group by 1""",
     ["scored"],
@@ -237,13 +238,14 @@ def calibration_table(t: Tables) -> DataFrame:
 
 @query(
     "E13",
-    """with r as (select min(score) as lo, max(score) as hi from scored)
-       select label, bin, min(lo + (hi - lo) * bin / 50) as lo, count(*) as n,
-         count(*)::double / sum(count(*)) over (partition by label) as share from (
-         select label, least(floor((score - lo) / (hi - lo) * 50), 49)::integer as bin, lo, hi
-         from scored, r) group by label, bin""",
+    """with r as (select label as y, min(score) as lo, (max(score) - min(score)) / 50 as step,
+         count(*) as total from scored group by 1)
+       select label, bin, min(lo + bin * step) as lo, count(*) as n,
+         count(*) / max(total)::double / max(step) as density from (
+         select *, least(len(list_filter(range(0, 50), lambda i: lo + i * step <= score)) - 1, 49)::integer
+           as bin from scored join r on y = label) group by label, bin""",
     ["scored"],
-    ["lo", "share"],
+    ["lo", "density"],
 )
 def score_histogram_by_label(t: Tables) -> DataFrame:
     return e.score_histogram_by_label(t.scored, "score", "label")

@@ -44,6 +44,16 @@ def bucket_ordinal(c: Column | str, labels: Sequence[str]) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(x) for x in labels]), _col(c)), F.lit(0)) - 1
 
 
+def equal_width_bin(v: Column, lo: Column, step: Column, bins: int) -> Column:
+    """0-based bin ``[lo + b * step, lo + (b + 1) * step)``; the last bin also takes its right end.
+
+    The quotient alone can be off by one next to an edge, so it is compared with the edges themselves.
+    """
+    b = F.floor((v - lo) / step)
+    b = b - F.when(v < lo + b * step, 1).otherwise(0) + F.when(v >= lo + (b + 1) * step, 1).otherwise(0)
+    return F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
 def sentiment_change(delta: Column | str) -> Column:
     delta = _col(delta)
     return F.when(delta < 0, "Worse").when(delta > 0, "Improved").when(delta == 0, "Same")

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from renewlens.functions.buckets import equal_width_bin
 from renewlens.functions.scalars import flag
 from renewlens.operators.ladder import class_ladder, quantiles
-from renewlens.operators.profiling import histogram, value_counts
+from renewlens.operators.profiling import in_equal_bins
 
 EPSILON = 1e-9
 FALLBACK_THRESHOLD = 0.3
@@ -220,9 +221,12 @@ def threshold_table(
     df: DataFrame,
     score: str,
     label: str,
-    grid: Sequence[float] = tuple(round(0.05 * i, 2) for i in range(1, 11)),
+    grid: Sequence[float] = tuple(0.05 + 0.05 * i for i in range(10)),
 ) -> DataFrame:
-    """Precision, recall, F1, flagged and caught at each grid threshold, one pass over the scores."""
+    """Precision, recall, F1, flagged and caught at each grid threshold, one pass over the scores.
+
+    Scores are compared with the grid as computed; the shown threshold is rounded to two digits.
+    """
     p, y = F.col(score), F.col(label)
     row = df.where(p.isNotNull() & y.isin(0, 1)).agg(
         F.count_if(y == 1).alias("actual"),
@@ -242,7 +246,7 @@ def threshold_table(
     recall = _zero_div(F.col("caught"), F.col("actual"))
     f1 = _zero_div(2 * F.col("caught"), F.col("flagged") + F.col("actual"))
     return points.select(
-        "threshold",
+        F.round("threshold", 2).alias("threshold"),
         F.round(precision, 3).alias("precision"),
         F.round(recall, 3).alias("recall"),
         F.round(f1, 3).alias("f1"),
@@ -271,11 +275,12 @@ def churn_flag(score: str, threshold: Column | float) -> Column:
 
 
 def calibration_table(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
-    """Mean score and actual rate in each bin [lo, hi) of 0..1 that has rows."""
+    """Mean score and actual rate in each bin [lo, hi) of 0..1 that has rows; 1.0 is in no bin."""
     p = F.col(score)
+    step = F.lit(1.0 / bins)
     return (
         df.where((p >= 0) & (p < 1) & F.col(label).isNotNull())
-        .groupBy(F.floor(p * bins).cast("int").alias("bin"))
+        .groupBy(equal_width_bin(p, F.lit(0.0), step, bins).alias("bin"))
         .agg(
             F.avg(p).alias("mean_score"),
             F.avg(F.col(label).cast("double")).alias("actual_rate"),
@@ -287,11 +292,25 @@ def calibration_table(df: DataFrame, score: str, label: str, bins: int = 10) ->
 def score_histogram_by_label(
     df: DataFrame, score: str, label: str, bins: int = 50
 ) -> DataFrame:
-    """Share of each class per score bin, over the overall score range."""
-    counts = histogram(df, score, bins, by=label)
-    # aggregated rows only: bins times classes
-    total = F.sum("n").over(Window.partitionBy(label))
-    return counts.withColumn("share", F.col("n") / total)
+    """Equal-width counts and densities of each class (0 and 1) over the class's own score range."""
+    p, y = F.col(score).cast("double"), F.col(label)
+    rows = df.where(p.isNotNull() & y.isin(0, 1))
+    ends = rows.agg(F.array(*[
+        F.struct(
+            F.min(F.when(y == c, p)).alias("lo"),
+            F.max(F.when(y == c, p)).alias("hi"),
+            F.count_if(y == c).alias("n"),
+        )
+        for c in (0, 1)
+    ])).scalar()
+    own = rows.withColumn("_both", ends).withColumn(
+        "_ends", F.element_at("_both", y.cast("int") + 1)
+    )
+    return in_equal_bins(own, p, bins).groupBy(label, "bin").agg(
+        F.min(F.col("_lo") + F.col("bin") * F.col("_step")).alias("lo"),
+        F.count("*").alias("n"),
+        (F.count("*") / F.max("_ends.n") / F.max("_step")).alias("density"),
+    )
 
 
 def tier_distribution(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from renewlens import schema as s
+from renewlens.functions import buckets
 from renewlens.functions import scalars as fn
 from renewlens.functions.scalars import flag, quoted
 from renewlens.operators.cohort import not_open
@@ -410,25 +411,31 @@ def describe(
 def histogram(
     df: DataFrame, column: str, bins: int, by: str | None = None
 ) -> DataFrame:
-    """Equal-width counts between the column's extremes; the last bin is closed on the right."""
+    """Equal-width counts between the column's extremes; the last bin is closed on the right.
+
+    A constant column gets a range of one around its value.
+    """
     v = F.col(quoted(column)).cast("double")
     rows = df.where(v.isNotNull())
     if by:
         rows = rows.where(F.col(by).isNotNull())
-    lo = rows.agg(F.min(v)).scalar()
-    hi = rows.agg(F.max(v)).scalar()
-    ends = rows.withColumns({"_lo": lo, "_hi": hi})
-    width = F.col("_hi") - F.col("_lo")
-    position = F.when(
-        width > 0, F.least(F.floor((v - F.col("_lo")) / width * bins), F.lit(bins - 1))
-    ).otherwise(F.lit(bins // 2))
+    ends = rows.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
     keys = [by, "bin"] if by else ["bin"]
-    return ends.withColumn("bin", position.cast("int")).groupBy(*keys).agg(
-        F.min(F.col("_lo") + width * F.col("bin") / bins).alias("lo"),
+    return in_equal_bins(rows.withColumn("_ends", ends), v, bins).groupBy(*keys).agg(
+        F.min(F.col("_lo") + F.col("bin") * F.col("_step")).alias("lo"),
         F.count("*").alias("n"),
     )
 
 
+def in_equal_bins(rows: DataFrame, v: Column, bins: int) -> DataFrame:
+    """Adds ``_lo``, ``_step`` and ``bin`` from the range in the struct column ``_ends`` (lo, hi)."""
+    lo, hi = F.col("_ends.lo"), F.col("_ends.hi")
+    flat = F.when(lo == hi, 0.5).otherwise(0.0)
+    return rows.withColumns(
+        {"_lo": lo - flat, "_step": (hi - lo + 2 * flat) / bins}
+    ).withColumn("bin", buckets.equal_width_bin(v, F.col("_lo"), F.col("_step"), bins))
+
+
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 quartile ranges, and the number of points beyond."""
     ladder = score_ladder(df, column, {"all": F.lit(1)}, [by])

@@ -187,3 +187,29 @@ def test_folds_are_balanced_within_labels(frame, sample):
     for _, part in counts.groupby("label"):
         assert len(part) == 5 and part["count"].max() - part["count"].min() <= 1
     assert folded.count() == len(sample)
+
+
+def test_calibration_uses_the_computed_edges(spark):
+    df = spark.createDataFrame([(0.3, 0), (0.30000000000000004, 1), (0.6, 1), (0.7, 1)], "p double, y int")
+    edges = np.linspace(0, 1, 11)
+    want = sorted(int(np.searchsorted(edges, p, side="right")) - 1 for p in (0.3, 0.30000000000000004, 0.6, 0.7))
+    got = e.calibration_table(df, "p", "y").collect()
+    assert sorted(b for r in got for b in [r["bin"]] * r["n"]) == want
+
+
+def test_threshold_grid_is_the_computed_one(spark):
+    df = spark.createDataFrame([(0.15, 1), (0.2, 0)], "p double, y int")
+    table = {r["threshold"]: r["flagged"] for r in e.threshold_table(df, "p", "y").collect()}
+    want = {round(float(t), 2): int(sum(p >= t for p in (0.15, 0.2))) for t in np.arange(0.05, 0.55, 0.05)}
+    assert table == want
+
+
+def test_class_histograms_have_their_own_range(frame, sample):
+    got = e.score_histogram_by_label(frame, "score", "label", 20).toPandas()
+    for y in (0, 1):
+        values = sample[sample.label == y].score
+        counts, _ = np.histogram(values, bins=20)
+        density, _ = np.histogram(values, bins=20, density=True)
+        part = got[got.label == y].set_index("bin")
+        assert part.n.reindex(range(20), fill_value=0).tolist() == list(counts)
+        assert np.allclose(part.density.reindex(range(20), fill_value=0.0), density)

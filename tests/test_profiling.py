@@ -117,3 +117,13 @@ def test_band_list_is_bounded(spark):
     )
     with pytest.raises(ValueError):
         c.band_enc_sorted(df)
+
+
+def test_histogram_equals_numpy(spark):
+    # tenths sit on edges that are not exact in binary
+    values = [i / 10 for i in range(11)] * 3 + [0.30000000000000004, 0.7000000000000001]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = rows(p.histogram(df, "v", 10), "bin")
+    want, edges = np.histogram(values, bins=10)
+    assert [got[i]["n"] for i in range(10)] == list(want)
+    assert [got[i]["lo"] for i in range(10)] == pytest.approx(list(edges[:-1]))
