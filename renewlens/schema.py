@@ -198,6 +198,13 @@ HYPOTHESES = [
     ("H8", "email_pct_negative", "Mann-Whitney"),
     ("H9", "total_negative_flags", "Mann-Whitney"),
 ]
+SUMMARY_HEADERS = {
+    "hypothesis": "Hypothesis", "feature": "Feature", "test": "Test", "p_value": "p-value",
+    "effect_size": "Effect Size", "churn_if_0": "Churn if 0", "churn_if_1": "Churn if 1",
+    "lift": "Lift (1 vs 0)", "significant": "Significant", "mean_retained": "Mean Retained",
+    "mean_churned": "Mean Churned",
+}
+SIGNIFICANT_MARK, NOT_SIGNIFICANT_MARK, NO_LIFT = "✓", "✗", "N/A"
 PREDICTION_CONTEXT = [
     "Band", "Tenure_Years", "Current_Anchorings", "auto_renewal_off", "payment_unknown",
 ]

@@ -208,3 +208,19 @@ def test_cohort_scan_is_pushed_down(spark, tmp_path, data):
     assert "EqualTo(Renewal_Year,2024)" in plan
     schema = plan[plan.index("ReadSchema"):]
     assert "Band" not in schema and "Total_Net_Paid" not in schema
+
+
+def test_hypothesis_report_has_the_published_form(spark, tmp_path):
+    from renewlens.plans.hypotheses import hypothesis_summary
+
+    df = spark.createDataFrame(
+        [(0, 0, 0.5)] * 10 + [(1, 1, 1.5)] * 10, "anchoring_zero int, churn_label int, Tenure_Years double"
+    )
+    summary = hypothesis_summary(df)
+    assert [r["hypothesis"] for r in summary.collect()] == ["H1", "H6"]
+    src.write_test_summary(summary, str(tmp_path / "s"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "s")).collect()
+    first = {r["Hypothesis"]: r.asDict() for r in rows}
+    assert list(first["H1"]) == list(s.SUMMARY_HEADERS.values())
+    assert (first["H1"]["Lift (1 vs 0)"], first["H1"]["Significant"]) == ("N/A", "✓")
+    assert first["H6"]["Mean Churned"] == "1.5" and first["H6"]["Churn if 0"] is None
