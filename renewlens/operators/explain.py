@@ -3,7 +3,8 @@
 The contributions are Shapley values under the trees' own cover (path-dependent form, Lundberg et al.,
 "Consistent individualized feature attribution for tree ensembles"). For one leaf, a row only matters
 through which of the features on the leaf's path it satisfies. A path has at most ``depth`` distinct
-features, so each leaf gets a table over these 2^m patterns once, and scoring a row is a lookup.
+features, so each leaf gets a table over these 2^m patterns once, and scoring a row is a lookup. Longer
+paths are worked out per batch instead.
 Spark distributes the rows; the model is small by construction (trees x leaves) and checked.
 """
 
@@ -24,6 +25,7 @@ from renewlens.operators.model import booster, feature_names
 from renewlens.session import shared_dir
 
 MAX_NODES = 2_000_000
+MAX_TABLE_FEATURES = 8
 CONTRIBUTIONS = "contributions"
 BASE = "base_value"
 
@@ -47,19 +49,18 @@ def tree_table(spark: SparkSession, model: PipelineModel, path: str | None = Non
     )
 
 
-def _pattern_table(zero: Sequence[float], value: float) -> np.ndarray:
-    """Contribution of one leaf to each path feature, for every pattern of satisfied features.
+def path_contributions(one: np.ndarray, zero: Sequence[float], value: float) -> np.ndarray:
+    """Contribution of one leaf to each path feature, for every row of ``one``.
 
-    ``zero[j]`` is the share of cover that follows the path at feature j. Bit j of the pattern says
-    whether the row itself follows it. The average over orderings groups the other features by how
-    many of them are known: those sums are the coefficients of prod (zero_i + one_i t).
+    ``zero[j]`` is the share of cover that follows the path at feature j; ``one[r, j]`` is 1 when row r
+    itself follows it. The average over orderings groups the other features by how many of them are
+    known: those sums are the coefficients of prod (zero_i + one_i t).
     """
-    m = len(zero)
-    one = (np.arange(2**m)[:, None] >> np.arange(m) & 1).astype(float)
+    rows, m = one.shape
     weight = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-    out = np.zeros((2**m, m))
+    out = np.zeros((rows, m))
     for j in range(m):
-        poly = np.zeros((2**m, m))
+        poly = np.zeros((rows, m))
         poly[:, 0] = 1.0
         for i in range(m):
             if i != j:
@@ -69,8 +70,17 @@ def _pattern_table(zero: Sequence[float], value: float) -> np.ndarray:
     return out
 
 
+def _pattern_table(zero: Sequence[float], value: float) -> np.ndarray | None:
+    """Contributions for all 2^m patterns; None for paths too long to tabulate."""
+    m = len(zero)
+    if m > MAX_TABLE_FEATURES:
+        return None
+    patterns = (np.arange(2**m)[:, None] >> np.arange(m) & 1).astype(float)
+    return path_contributions(patterns, zero, value)
+
+
 def leaf_tables(nodes: pd.DataFrame, tree_weights: Sequence[float], scale: float = 2.0):
-    """Per leaf: path features, their intervals (lo, hi], and the pattern table; plus the base value.
+    """Per leaf: path features, their intervals (lo, hi], pattern table, shares and value; then the base.
 
     ``scale`` 2 turns the booster's margin into log-odds, because its probability is 1/(1+e^(-2m)).
     """
@@ -92,6 +102,8 @@ def leaf_tables(nodes: pd.DataFrame, tree_weights: Sequence[float], scale: float
                         [lo for lo, _, _ in path.values()],
                         [hi for _, hi, _ in path.values()],
                         _pattern_table(zero, value),
+                        zero,
+                        value,
                     ))
                 continue
             for child, is_left in ((int(row.left), True), (int(row.right), False)):
@@ -108,11 +120,13 @@ def leaf_tables(nodes: pd.DataFrame, tree_weights: Sequence[float], scale: float
 def contributions_of(x: np.ndarray, leaves) -> np.ndarray:
     """Contribution matrix (rows x features) of a batch."""
     out = np.zeros_like(x, dtype=float)
-    for features, lo, hi, table in leaves:
+    for features, lo, hi, table, zero, value in leaves:
         cols = x[:, features]
         inside = (cols > lo) & (cols <= hi)
-        pattern = inside @ (1 << np.arange(len(features)))
-        out[:, features] += table[pattern]
+        if table is None:
+            out[:, features] += path_contributions(inside.astype(float), zero, value)
+        else:
+            out[:, features] += table[inside @ (1 << np.arange(len(features)))]
     return out
 
 

@@ -91,6 +91,17 @@ def test_contributions_equal_brute_force_shapley(spark, frame, model, scored):
         assert np.allclose(got.loc[key, x.CONTRIBUTIONS], want, atol=1e-9)
 
 
+def test_long_paths_without_a_table_agree(spark, model, scored, monkeypatch):
+    nodes = x.tree_table(spark, model).toPandas()
+    weights = list(m.booster(model).treeWeights)
+    values = scored[NAMES].to_numpy(dtype=float)
+    tabled, base = x.leaf_tables(nodes, weights)
+    monkeypatch.setattr(x, "MAX_TABLE_FEATURES", 1)
+    direct, same_base = x.leaf_tables(nodes, weights)
+    assert any(leaf[3] is None for leaf in direct) and base == same_base
+    assert np.allclose(x.contributions_of(values, tabled), x.contributions_of(values, direct))
+
+
 def test_top_reasons(spark):
     df = spark.createDataFrame([([0.1, -0.5, 0.5, 0.0],)], f"{x.CONTRIBUTIONS} array<double>")
     text = x.top_reasons(df, ["w", "z", "y", "v"], 3).first()["top_reasons"]
