@@ -58,10 +58,10 @@ lost as (
   select x.host, x.t, sum(nw) as lost from x join c on x.host = c.host and x.line = c.line and x.t <> c.first_t
   group by x.host, x.t),
 f as (
-  select doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
-    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  select doc_id, len(w)::bigint as n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
     coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
-    coalesce(lost, 0)::bigint as lost
+    coalesce(lost.lost, 0)::bigint as lost
   from d left join rep using (doc_id) left join dup using (doc_id) left join lost on lost.host = d.host and lost.t = d.t),
 z as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -108,7 +108,39 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesc
 from d left join n using (doc_id) left join m on m.node = d.doc_id
 """
 
+SUBSTRINGS = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+g as (
+  select doc_id, i, array_to_string(w[i:i + 12], ' ') as gram
+  from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+m as (select gram, min(doc_id) as low from g group by gram),
+c as (
+  select distinct doc_id, unnest(range(i, i + 13)) as k from (select g.doc_id, i from g join m on g.gram = m.gram where low < g.doc_id)),
+n as (select doc_id, count(*) as n, list(k) as ks from c group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+  sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, j: not list_contains(ks, j)) end, ' ')) as kept_sha256
+from d left join n using (doc_id)
+"""
+
+ARCHIVES = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+q as (
+  select page_id, html, strlen(html) as size, list_aggregate(list_transform(range(1, 41), lambda i:
+    lpad(bin(strpos('0123456789abcdef', substr(sha1(html), i, 1)) - 1), 4, '0')), 'string_agg', '') as bits,
+    max(page_id) over (partition by html) as newest from p)
+select page_id, size::bigint as payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+      + 16 * substr(bits, 5 * i + 1, 1)::int + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int
+      + 2 * substr(bits, 5 * i + 4, 1)::int + substr(bits, 5 * i + 5, 1)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = newest then 'response' else 'revisit' end as record_type,
+  case when page_id = newest then null else newest end as refers_to
+from q
+"""
+
 ORACLES = {
+    "op1_substring_dedup": SUBSTRINGS,
+    "op7_archives": ARCHIVES,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op5_quality_rules": QUALITY,
     "op9_decontaminate": DECONTAMINATE,

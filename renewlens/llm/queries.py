@@ -5,18 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from renewlens.llm import oracles
+from renewlens.llm.archives import convert, read_warc, write_arc
 from renewlens.llm.decontaminate import verdicts
 from renewlens.llm.line_dedup import dedup_lines
 from renewlens.llm.mixing import mix
 from renewlens.llm.neardup import near_duplicates
+from renewlens.llm.pseudonyms import KINDS as PERSONAL
+from renewlens.llm.pseudonyms import pseudonymise
 from renewlens.llm.quality import STATS, quality
+from renewlens.llm.secrets import listed, scan
+from renewlens.llm.substrings import dedup_substrings
+from renewlens.llm.unigram import token_counts
+from renewlens.session import shared_dir
+
+#: Key of the pseudonyms in the query over public test tables; callers bring their own.
+TEST_KEY = b"key of the test tables"
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_substrings(_table(spark, folder, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op2_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    found = pseudonymise(_table(spark, folder, "documents", "doc_id", "text"), TEST_KEY)
+    return found.select("doc_id", *(f"n_{k}" for k in PERSONAL), "text")
+
+
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     found = mix(_table(spark, folder, "documents", "doc_id", "source", "text"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -31,6 +55,28 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *STATS, "base_failed", "kept", "words_left")
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan(_table(spark, folder, "documents", "doc_id", "text"))
+    base = ("assign", "access", "hex")
+    return found.select(
+        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed((*base, "model")).alias("spans"),
+    )
+
+
+def op7_archives(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    write_arc(_table(spark, folder, "pages", "page_id", "url", "html"), f"{path}/arc")
+    convert(spark, f"{path}/arc", f"{path}/warc")
+    return read_warc(spark, f"{path}/warc").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(_table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "n_pretokens", "n_tokens")
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = verdicts(
         _table(spark, folder, "documents", "doc_id", "text"),
@@ -49,6 +95,9 @@ def op10_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_mix_sources, op4_near_duplicates, op5_quality_rules, op9_decontaminate, op10_line_chunks)
+    for f in (
+        op1_substring_dedup, op2_pseudonyms, op3_mix_sources, op4_near_duplicates, op5_quality_rules,
+        op6_secret_scan, op7_archives, op8_token_counts, op9_decontaminate, op10_line_chunks,
+    )
 }
 ORACLES = oracles.ORACLES
