@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.llm.frames import shield, text_key
+from renewlens.llm.text import WORD
 from renewlens.session import stage
 
 #: A chunk ends after about every DIVISOR-th line; a chunk of fewer than MIN_LINES lines stays.
@@ -45,43 +46,51 @@ def chunks(docs: DataFrame) -> DataFrame:
     return cut.withColumn("starts", starts).drop("_h")
 
 
+def _joined(lines: Column, r: Column) -> Column:
+    """The text of a range of lines."""
+    return F.array_join(F.slice(lines, r["at"], r["until"] - r["at"] + 1), "\n")
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, at, until, chunk): the multi-line chunks with a line that is not blank."""
-    ranges = F.filter(F.arrays_zip("starts", "ends"), lambda r: r["ends"] - r["starts"] >= MIN_LINES - 1)
-    rows = docs.select("doc_id", "tk", "lines", F.explode(ranges).alias("r"))
-    chunk = F.array_join(F.slice("lines", F.col("r.starts"), F.col("r.ends") - F.col("r.starts") + 1), "\n")
-    return rows.select(
-        "doc_id", "tk", F.col("r.starts").alias("at"), F.col("r.ends").alias("until"), chunk.alias("chunk")
-    ).where(F.col("chunk").rlike(r"[^\x20\x09-\x0D]"))
+    """(hash, doc_id, tk, at, until): the multi-line chunks with a line that is not blank."""
+    ranges = F.transform(F.arrays_zip("starts", "ends"), lambda r: F.struct(r["starts"].alias("at"), r["ends"].alias("until")))
+    many = F.filter(ranges, lambda r: r["until"] - r["at"] >= MIN_LINES - 1)
+    rows = chunks(docs).select("doc_id", "tk", "lines", F.explode(many).alias("r"))
+    text = _joined(F.col("lines"), F.col("r"))
+    return rows.where(text.rlike(WORD)).select(F.xxhash64(text).alias("hash"), "doc_id", "tk", "r.at", "r.until")
+
+
+def _for_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join per-document results by doc_id (null meets null) and fingerprint."""
+    found = found.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))
+    return docs.join(found, on, how).drop("_id", "_tk")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, cuts): line ranges of chunks that stand earlier in the corpus.
+    """(doc_id, tk, cuts): line ranges of chunks that stand earlier in the corpus, from doc_id, tk, text.
 
-    Chunks meet by hash. The smallest and the largest text under a hash are compared: where they are
-    the same bytes, all occurrences are copies; where not, the texts under the hash are kept apart.
-    Of equal chunks the first stays: smallest doc_id (nulls last), fingerprint, line.
+    Chunks meet by hash, and only those whose hash comes again are fetched as text. Their bytes are
+    compared: one text under a hash makes all its occurrences copies, several are kept apart. Of equal
+    chunks the first stays: smallest doc_id (nulls last), fingerprint, line.
     """
-    seen = _occurrences(chunks(docs.select("doc_id", "text", text_key().alias("tk"))))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "at")
-    keyed = seen.withColumn("hash", F.xxhash64("chunk"))
-    # a first pass over hashes alone leaves the chunks that can be repeats
-    narrow = stage(keyed.select("hash", "doc_id", "tk", "at", "until"))
-    often = narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    many = stage(
-        keyed.join(often, "hash", "left_semi")
-        .groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-        .groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
-        .where("n > texts")
+    seen = stage(_occurrences(docs))
+    often = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    again = (
+        seen.join(often, "hash").groupBy("doc_id", "tk")
+        .agg(F.collect_set(F.struct("hash", "at", "until")).alias("again"))
     )
-    alike = narrow.join(many.where("texts = 1").select("hash", "first"), "hash")
-    apart = many.where("texts > 1").select("hash")
-    # equal hash, unequal bytes: compare whole chunks
-    clash = keyed.join(apart, "hash", "left_semi")
-    firsts = clash.groupBy("chunk").agg(F.min(place).alias("first"))
-    unlike = clash.join(firsts, "chunk").select(*alike.columns)
+    fetched = _for_doc(docs, again, "inner").select("doc_id", "tk", F.split("text", "\n").alias("lines"), F.explode("again").alias("r"))
+    texts = stage(fetched.select("r.hash", "doc_id", "tk", "r.at", "r.until", _joined(F.col("lines"), F.col("r")).alias("chunk")))
+    firsts = texts.groupBy("hash", "chunk").agg(F.min(place).alias("first"))
+    # the number of texts under a hash decides whether the hash stands for the bytes
+    by_hash = stage(firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")))
+    same = texts.drop("chunk").join(by_hash.where("texts = 1").select("hash", "first"), "hash")
+    apart = texts.join(by_hash.where("texts > 1").select("hash"), "hash", "left_semi")
+    other = apart.join(apart.groupBy("chunk").agg(F.min(place).alias("first")), "chunk").select(*same.columns)
     return (
-        alike.unionByName(unlike)
+        same.unionByName(other)
         .where(place != F.col("first"))
         .groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "until")).alias("cuts"))
     )
@@ -94,27 +103,26 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out. A null text stays null with no lines. Rows with equal id and text are one document and are
     treated alike. Columns of ``docs`` under these names have to be shielded by the caller.
     """
-    cuts = stage(repeated(docs))
-    found = chunks(docs.withColumn("tk", text_key())).join(
-        cuts.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "cuts"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left",
-    )
-    cut = F.coalesce("cuts", F.array().cast("array<struct<at:int,until:int>>"))
-    kept = F.filter(
-        F.arrays_zip("starts", "ends"),
-        lambda r: ~F.exists(cut, lambda c: c["at"] == r["starts"]),
-    )
-    pieces = F.transform(kept, lambda r: F.array_join(F.slice("lines", r["starts"], r["ends"] - r["starts"] + 1), "\n"))
-    removed = F.aggregate(cut, F.lit(0).cast("long"), lambda s, c: s + c["until"] - c["at"] + 1)
+    keyed = docs.withColumn("tk", text_key())
+    cuts = stage(repeated(keyed.select("doc_id", "tk", "text")))
+    found = chunks(_for_doc(keyed, cuts, "left"))
+    gone = F.flatten(F.transform("cuts", lambda c: F.sequence(c["at"], c["until"])))
+    stays = F.array_except(F.sequence(F.lit(1), F.size("lines")), gone)
+    left = F.array_join(F.transform(stays, lambda i: F.element_at("lines", i)), "\n")
     return found.withColumns({
         "n_lines": F.size("lines").cast("long"),
         "n_chunks": F.size("ends").cast("long"),
-        "n_removed_lines": removed,
-        "text": F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n")),
-    }).drop("tk", "_id", "_tk", "cuts", "lines", "starts", "ends")
+        "n_removed_lines": F.when(F.col("cuts").isNull(), 0).otherwise(F.size(gone)).cast("long"),
+        "text": F.when(F.col("cuts").isNull(), F.col("text")).otherwise(left),
+    }).drop("tk", "cuts", "lines", "starts", "ends")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without repeated chunks, with the columns of ``docs``; emptied documents stay, empty."""
+    """Documents without repeated chunks, with the columns of ``docs``.
+
+    A document that had words and is left without any goes: all its lines stand in earlier documents.
+    """
     inner, restore = shield(docs, "doc_id", "text")
-    return restore(dedup_lines(inner))
+    found = dedup_lines(inner)
+    emptied = (F.col("n_removed_lines") > 0) & ~F.col("text").rlike(WORD)
+    return restore(found.where(~F.coalesce(emptied, F.lit(False))))

@@ -19,7 +19,7 @@ SEED = 20240601
 #: Words of a source's budget that the dynamic programme fits exactly; the rest goes by length shares.
 FIT_WORDS = 1 << 16
 #: Parts of a group of equally long documents of one source, so that no part is large.
-SALTS = 4096
+SALTS = 512
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
