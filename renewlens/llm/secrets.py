@@ -6,10 +6,13 @@ Built-in expressions only.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from renewlens.llm.text import lower_ascii
+
 #: Base patterns in the order they are listed (fixed by the contract): (kind, pattern, least length).
 #: The first one is judged by its value (group 2), the others by the whole match. For hex and access
 #: a minimum in the pattern finds the same spans as dropping short maximal runs.
@@ -23,26 +26,42 @@ HEX = r"[0-9a-f]{24,}"
 #: Symbols of the Markov chains, and the strings that are judged: whole runs of 20 or more of them.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = r"[A-Za-z0-9+/_=-]{4,}"
+#: Ordinary identifiers are shorter runs, so that no string to be judged trains its own judge.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}(?![A-Za-z0-9+/_=-])"
 #: A candidate is a secret from this log-likelihood ratio on, in nats.
 THRESHOLD = 10.0
-#: At most so many documents with base spans and so many without are training samples.
-SAMPLE_DOCS = 4000
-#: Pseudo-count of every transition.
-SMOOTH = 0.5
+#: At most so many documents with base spans and so many documents at large are training samples.
+SAMPLE_DOCS = 1000
+#: Pseudo-count of every symbol, and how many pseudo-transitions follow the symbols' own shares.
+SMOOTH, BACK_OFF = 0.5, 8.0
 
 _MARK, _OTHER = "\u0001", "\u0002"
 
 
+def _keyword(text: Column) -> Column:
+    """Whether a text has what every assignment needs; cheaper than the pattern."""
+    low = lower_ascii(text)
+    words = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    named = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    return (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & named
+
+
+def _has(text: Column, pattern: str) -> Column:
+    if pattern == ASSIGN:
+        return _keyword(text) & text.rlike(ASSIGN)
+    if pattern == ACCESS:
+        return F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS)
+    return text.rlike(pattern)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, s>>: leftmost non-overlapping matches, in code points, end exclusive.
 
     Matches are set in marks and the text is cut at them; lengths of the pieces give positions. A
     mark that stands in the text is replaced before by another control character.
     """
-    marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    pieces = F.when(F.contains(marked, F.lit(_MARK)), F.split(marked, _MARK)).otherwise(F.array(F.lit("")))
+    marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -53,7 +72,8 @@ def spans(text: Column, pattern: str) -> Column:
             F.when(acc["odd"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    found = F.aggregate(F.split(marked, _MARK), start, step, lambda acc: acc["out"])
+    return F.when(_has(text, pattern), found).otherwise(none)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -70,14 +90,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     """(random, s): labelled strings of a bounded sample of documents.
 
-    Random strings are the values of base spans; ordinary identifiers are the runs of documents
-    without any. The sample has the documents of smallest hash, ``limit`` of each sort at most.
+    Random strings are the values of base spans, ordinary identifiers the shorter runs of any
+    documents. Each sort comes from the ``limit`` documents of smallest hash.
     """
     text = F.coalesce("text", F.lit(""))
-    found = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)
-    rows = docs.select(text.alias("text"), F.xxhash64("text", "doc_id").alias("h"), found.alias("found"))
-    secret = base_spans(rows.where("found").orderBy("h").limit(limit).select("text"))
-    plain = rows.where("not found").orderBy("h").limit(limit)
+    rows = docs.select(text.alias("text"), F.xxhash64("text", "doc_id").alias("h"))
+    found = reduce(lambda a, b: a | b, (_has(F.col("text"), p) for p in (ASSIGN, ACCESS, HEX)))
+    secret = base_spans(rows.where(found).orderBy("h").limit(limit).select("text"))
+    plain = rows.orderBy("h").limit(limit)
     assigned = F.transform("assign", lambda x: F.regexp_extract(x["s"], ASSIGN, 2))
     values = F.concat(assigned, F.transform("access", lambda x: x["s"]), F.transform("hex", lambda x: x["s"]))
     return secret.select(F.lit(True).alias("random"), F.explode(values).alias("s")).unionByName(
@@ -85,40 +105,40 @@ def samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     )
 
 
-def _code(c: Column) -> Column:
-    return F.position(c, F.lit(ALPHABET)) - 1
-
-
 def _pairs(s: Column) -> Column:
     """Numbers of the transitions of a string; -1 for one outside the alphabet."""
     k = len(ALPHABET)
+    codes = F.transform(F.split(s, ""), lambda c: F.when(c != "", F.position(c, F.lit(ALPHABET)) - 1).otherwise(F.lit(-1)))
+    size = F.greatest(F.length(s) - 1, F.lit(0))
+    pair = lambda a, b: F.when((a >= 0) & (b >= 0), a * k + b).otherwise(F.lit(-1))
+    return F.zip_with(F.slice(codes, F.lit(1), size), F.slice(codes, F.lit(2), size), pair)
 
-    def pair(i: Column) -> Column:
-        a, b = _code(F.substr(s, i, F.lit(1))), _code(F.substr(s, i + 1, F.lit(1)))
-        return F.when((a >= 0) & (b >= 0), a * k + b).otherwise(F.lit(-1))
-
-    steps = F.when(F.length(s) > 1, F.sequence(F.lit(1), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, pair)
 
-
-def train(labelled: DataFrame, smooth: float = SMOOTH) -> list[float]:
+def train(labelled: DataFrame, smooth: float = SMOOTH, back_off: float = BACK_OFF) -> list[float]:
     """Log-likelihood ratio of every transition, random against ordinary, from (random, s).
 
-    The counts are one row per transition and label, so their number is bounded by the alphabet.
+    Each chain backs off to the shares of its symbols, so that a symbol rare in identifiers counts
+    even after a symbol they never have. The counts are one row per transition and label, so their
+    number is bounded by the alphabet.
     """
     k = len(ALPHABET)
     counts = (
         labelled.select("random", F.explode(_pairs(F.col("s"))).alias("pair"))
         .where("pair >= 0").groupBy("random", "pair").count().collect()
     )
-    n = {True: [smooth] * (k * k), False: [smooth] * (k * k)}
-    for r in counts:
-        n[r["random"]][r["pair"]] += r["count"]
-    rows = {label: [sum(v[i * k:(i + 1) * k]) for i in range(k)] for label, v in n.items()}
-    return [
-        math.log(n[True][p] / rows[True][p // k]) - math.log(n[False][p] / rows[False][p // k])
-        for p in range(k * k)
-    ]
+    logs = []
+    for label in (True, False):
+        n = [0] * (k * k)
+        for r in counts:
+            if r["random"] == label:
+                n[r["pair"]] = r["count"]
+        share = [sum(n[b::k]) + smooth for b in range(k)]
+        total = sum(share)
+        rows = [sum(n[a * k:(a + 1) * k]) for a in range(k)]
+        logs.append([
+            math.log((n[p] + back_off * share[p % k] / total) / (rows[p // k] + back_off)) for p in range(k * k)
+        ])
+    return [a - b for a, b in zip(*logs)]
 
 
 def ratio(s: Column, model: list[float]) -> Column:
@@ -150,10 +170,12 @@ KINDS = ("assign", "access", "hex", "model")
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans, by start, then kind as listed, comma-joined."""
-    rows = F.concat(*(
-        F.transform(k, lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
-        for i, k in enumerate(kinds)
-    ))
+    def of_kind(i: int) -> Column:
+        return F.transform(
+            kinds[i], lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"))
+        )
+
+    rows = F.concat(*map(of_kind, range(len(kinds))))
     names = F.array(*map(F.lit, kinds))
     words = F.transform(
         F.array_sort(rows),

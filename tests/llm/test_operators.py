@@ -82,7 +82,7 @@ def test_quality_keeps_columns(docs, rows, nothing):
     assert kept.schema == docs.schema
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute.quality(rows, 20, 0.1, 0.3) if r[-1]}
     assert quality.keep_good(nothing).count() == 0
-    cut = quality.remove_shared_lines(docs, min_docs=5, max_share=0.08)
+    cut = quality.remove_shared_lines(docs, min_docs=2, max_share=0.05)
     assert cut.schema == docs.schema and cut.count() == docs.count()
     line = "All Rights reserved 1999"
     before, after = (sum((r.text or "").count(line) for r in df.collect()) for df in (docs, cut))
