@@ -61,10 +61,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _for_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Join per-document results by doc_id (null meets null) and fingerprint."""
+    """Join per-document results by doc_id (null meets null) and fingerprint.
+
+    The results grow with the corpus, so they are merged and never broadcast.
+    """
     found = found.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))
-    return docs.join(found, on, how).drop("_id", "_tk")
+    return docs.join(found.hint("merge"), on, how).drop("_id", "_tk")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
