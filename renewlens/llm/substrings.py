@@ -29,14 +29,19 @@ BUFFER_BYTES = 24 << 20
 SHARDS_PER_PARTITION = 2
 
 _CODEC = "zstd"
+_LEVEL = 3
 _PACKET = "shard int, kind int, size long, body binary, sizes array<int>"
 _RANGES = "doc_id long, tag int, first int, n int"
 
 
+def _compress(raw: bytes) -> bytes:
+    return pa.Codec(_CODEC, compression_level=_LEVEL).compress(raw, asbytes=True)
+
+
 def _pack(*arrays: np.ndarray) -> tuple[bytes, list[int], int]:
     raw = [np.ascontiguousarray(a).view(np.uint8).tobytes() for a in arrays]
     whole = b"".join(raw)
-    return pa.compress(whole, _CODEC, asbytes=True), [len(x) for x in raw], len(whole)
+    return _compress(whole), [len(x) for x in raw], len(whole)
 
 
 def _unpack(body: bytes, sizes: list[int], size: int, kinds: tuple) -> list[np.ndarray]:
@@ -264,6 +269,44 @@ def copied_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, s
     return packets.groupBy("shard").applyInArrow(lambda table: _shard_ranges(table, window), _RANGES)
 
 
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with each text as its size and compressed bytes, in the columns _size and _body."""
+    names = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([
+        *(docs.schema[c] for c in names), T.StructField("_size", T.IntegerType()), T.StructField("_body", T.BinaryType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            raw = [None if x is None else x.encode() for x in batch.column("text").to_pylist()]
+            sizes = pa.array([None if x is None else len(x) for x in raw], pa.int32())
+            body = pa.array([None if x is None else _compress(x) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), sizes, body], names=[*names, "_size", "_body"]
+            )
+
+    return docs.mapInArrow(run, schema)
+
+
+def _unpacked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = batch.column("_size").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(np.nan_to_num(sizes.astype(float)))
+        at = 0
+        while at < batch.num_rows:  # about 8 MB of text at once
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (8 << 20), side="right")))
+            part = batch.slice(at, stop - at)
+            texts = [
+                None if n is None else pa.decompress(b, n, _CODEC, asbytes=True).decode()
+                for n, b in zip(part.column("_size").to_pylist(), part.column("_body").to_pylist())
+            ]
+            rest = [c for c in part.schema.names if c not in ("_size", "_body")]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, "text"]
+            )
+            at = stop
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """All columns of ``docs`` with n_words, n_removed and kept, the words left joined by one blank.
 
@@ -278,16 +321,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, **options) -> DataFr
     )
     names = docs.columns
     tag = text_key().bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    joined = docs.withColumn("_t", tag).join(
-        ranges, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_tag")), "left"
-    ).select(*(f"`{c}`" for c in names), F.col("_cut.first").alias("_first"), F.col("_cut.n").alias("_n"))
+    # texts go through the shuffle of the join compressed
+    packed = _packed_texts(docs.withColumn("_t", tag))
+    joined = packed.join(
+        ranges.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_tag")), "left"
+    ).drop("_t", "_id", "_tag").withColumns({"_first": F.col("_cut.first"), "_n": F.col("_cut.n")}).drop("_cut")
     schema = T.StructType([
         *docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept", T.StringType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(_unpacked_texts(batches), "text"):
             found = words(batch.column("text"))
             first, n = (batch.column(c).to_pylist() for c in ("_first", "_n"))
             removed, kept = [], []
