@@ -148,25 +148,56 @@ def test_keep_one(docs, rows, nothing):
     assert neardup.keep_one(nothing).count() == 0
 
 
+def _packed(symbols):
+    return [sum(symbols[4 * c + k] << 16 * k for k in range(4)) for c in range(8)]
+
+
 def test_index_finds_all_within_the_distance(spark):
-    """Signatures with up to 15 of 32 symbols changed share a key; distance counts the changes."""
+    """Signatures with up to 15 of 32 symbols changed share a key, and one of the shared keys is first."""
     import random
 
+    import numpy as np
+
     rng, rows = random.Random(3), []
     for i in range(300):
         symbols = [rng.randrange(1 << 16) for _ in range(32)]
-        other, n = list(symbols), i % 16
-        for k in rng.sample(range(32), n):
+        other = list(symbols)
+        for k in rng.sample(range(32), i % 16):
             other[k] ^= rng.randrange(1, 1 << 16)
-        pack = lambda s: [sum(s[4 * c + k] << 16 * k for k in range(4)) for c in range(8)]
         signed = lambda x: [v - (1 << 64) if v >> 63 else v for v in x]
-        rows.append((n, signed(pack(symbols)), signed(pack(other))))
-    df = spark.createDataFrame(rows, "n int, a array<bigint>, b array<bigint>")
-    got = df.select(
-        "n", neardup.distance(F.col("a"), F.col("b")).alias("d"),
-        F.arrays_overlap(neardup.keys(F.col("a")), neardup.keys(F.col("b"))).alias("meet"),
-    ).collect()
-    assert all(r.n == r.d and r.meet for r in got)
+        rows.append((signed(_packed(symbols)), signed(_packed(other))))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    got = df.select("a", "b", neardup.keys(F.col("a")).alias("ka"), neardup.keys(F.col("b")).alias("kb")).collect()
+    for r in got:
+        shared = [k for k in range(32) if r.ka[k] == r.kb[k]]
+        assert shared
+        a, b = (np.array([x], np.int64).view(np.uint64) for x in (r.a, r.b))
+        assert [k for k in shared if neardup._first_meeting(a, b, np.array([k]))[0]] == shared[:1]
+
+
+def test_signature_distance_keeps_similar_sets(rows):
+    """Sets at the limit of similarity pass the comparison of signatures, unlike ones do not."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    passed = {0.75: 0, 0.4: 0}
+    for similar in passed:
+        for n in rng.integers(20, 1500, 200).tolist():
+            common = int(round(similar * n))
+            union = np.unique(rng.integers(0, 1 << 63, n + 10, dtype=np.uint64) * np.uint64(2))[:n]
+            rng.shuffle(union)
+            half = common + (n - common) // 2
+            a, b = np.sort(union[:half]), np.sort(np.concatenate([union[:common], union[half:]]))
+            bins = neardup._bins(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]))
+            full = np.concatenate([np.zeros((2, neardup.CHUNKS), np.uint64), bins], axis=1)
+            passed[similar] += bool(neardup._close(full[:1], full[1:], np.array([len(a)]), np.array([len(b)]))[0])
+    assert passed[0.75] == 200 and passed[0.4] < 20
+
+
+def test_near_pairs_in_blocks(narrow, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    got = collected(neardup.near_duplicates(narrow), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near(by_id(rows)), key=repr)
 
 
 def test_components_of_chains(spark):
