@@ -95,7 +95,7 @@ def contribution_points(t: Tables) -> DataFrame:
 @query("M12")
 def global_importance(t: Tables) -> DataFrame:
     df, names, model = _fitted(t)
-    return x.global_importance(x.explain(df, model, KEY), names)
+    return x.global_importance(x.explain(df, model, KEY), names, 20)
 
 
 @query("M14 O04")

@@ -76,7 +76,8 @@ def pr_curve(t: Tables) -> DataFrame:
 
 @query(
     "E04",
-    "select t as threshold, fp::double / n_neg as fpr, tp::double / n_pos as tpr from ladder",
+    """select t as threshold, fp::double / n_neg as fpr, tp::double / n_pos as tpr from ladder
+       union all select null, 0.0, 0.0""",
     ["ladder"],
     ["fpr", "tpr"],
 )

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from renewlens import schema as s
 from renewlens.functions import buckets
 from renewlens.functions import scalars as fn
-from renewlens.functions.scalars import flag
+from renewlens.functions.scalars import flag, quoted
 from renewlens.operators.ladder import quantiles
-from renewlens.session import stage
 
 KEY = ["Co_Ref", "Renewal_Year"]
-MAX_BANDS = 1000
 
 
 # --- filters and projections ------------------------------------------------
@@ -82,6 +80,28 @@ def require_non_empty(df: DataFrame, what: str = "cohort") -> DataFrame:
     return df
 
 
+def guarded(df: DataFrame, base: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``df`` whose plan fails when ``base`` has no row or when a key occurs twice in ``df``.
+
+    The rows of a key meet for the count where the later joins on the key need them anyway.
+    """
+    per_key = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    text = F.concat_ws(" / ", *(F.col(c).cast("string") for c in key))
+    twice = F.raise_error(F.concat(F.lit("repeated key: "), text)).cast("boolean")
+    unique = (
+        df.withColumn("_rows", per_key)
+        .where(F.when(F.col("_rows") > 1, twice).otherwise(F.lit(True)))
+        .drop("_rows")
+    )
+    empty = F.raise_error(F.lit("no rows in the post-renewal window")).cast("boolean")
+    none = (
+        base.agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.when(F.col("_rows") == 0, empty).otherwise(F.lit(False)))
+        .select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields))
+    )
+    return unique.unionByName(none)
+
+
 def compound_yes(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Counts of ``value`` among rows where both flags say Yes."""
     return (
@@ -202,23 +222,22 @@ def billing_flags() -> dict[str, Column]:
 def low_release_score(df: DataFrame, q25: float | None = None) -> DataFrame:
     """1 where the release score is below its cohort's lower quartile.
 
-    The quartile is exact and per renewal year. The cohort rows are staged because the ladder and the
-    result both read them; the cut-offs are staged so that the planner knows how small they are and
-    does not shuffle the cohort by year. ``q25`` fixes the cut-off instead, so that training and scoring
-    can share one.
+    The quartile is exact and per renewal year, from a ladder over year and score alone. The cut-offs,
+    one per year, reach the rows as a map from a scalar subquery, so the cohort stays one lazy pass.
+    ``q25`` fixes the cut-off instead, so that training and scoring can share one.
     """
     score = F.col("Renewal_Score_At_Release")
     if q25 is not None:
         return df.withColumn("low_release_score", flag(score < q25))
-    df = stage(df)
-    cuts = stage(
-        quantiles(
-            df, "Renewal_Score_At_Release", {"_q25": 0.25}, by=["Renewal_Year"]
-        ).select("Renewal_Year", "_q25")
+    cuts = quantiles(
+        df.select("Renewal_Year", "Renewal_Score_At_Release"), "Renewal_Score_At_Release",
+        {"_q25": 0.25}, by=["Renewal_Year"],
     )
-    return df.join(cuts, "Renewal_Year", "left").withColumn(
-        "low_release_score", flag(score < F.col("_q25"))
-    ).drop("_q25")
+    by_year = cuts.agg(
+        F.map_from_entries(F.collect_list(F.struct("Renewal_Year", "_q25"))).alias("cuts")
+    ).scalar()
+    cut = F.try_element_at(by_year, F.col("Renewal_Year"))
+    return df.withColumn("low_release_score", flag(score < cut))
 
 
 def with_profiling_features(df: DataFrame) -> DataFrame:
@@ -248,19 +267,20 @@ def with_profiling_features(df: DataFrame) -> DataFrame:
 def band_enc_sorted(df: DataFrame) -> DataFrame:
     """Ordinal of the band in the sorted list of bands that occur; unknown or missing gives -1.
 
-    The list is an ordered array from one aggregate, looked up by position, so no join is needed.
-    Bands are a short code list; a column with more codes than that is refused.
+    The list is the ranked distinct bands, joined back for both columns; the planner picks the joins.
     """
-    codes = df.where(F.col("Band").isNotNull()).select("Band").distinct()
-    if codes.limit(MAX_BANDS + 1).count() > MAX_BANDS:
-        raise ValueError(f"more than {MAX_BANDS} different bands")
-    bands = codes.agg(F.array_sort(F.collect_set("Band")).alias("bands")).scalar()
-    enc = F.array_position(bands, F.col("Band")).cast("int") - 1
-    last = F.nullif(F.array_position(bands, F.col("Last_Band")).cast("int"), F.lit(0)) - 1
-    return df.withColumns({
-        "band_enc": F.coalesce(enc, F.lit(-1)),
-        "_last": last,
-    }).withColumn("band_downgraded", flag(F.col("band_enc") < F.col("_last"))).drop("_last")
+    ranked = (
+        df.where(F.col("Band").isNotNull()).select("Band").distinct()
+        .select("Band", (F.dense_rank().over(Window.orderBy("Band")) - 1).alias("_rank"))
+    )
+    now = ranked.select("Band", F.col("_rank").alias("_now"))
+    last = ranked.select(F.col("Band").alias("Last_Band"), F.col("_rank").alias("_last"))
+    return (
+        df.join(now, "Band", "left").join(last, "Last_Band", "left")
+        .withColumn("band_enc", F.coalesce("_now", F.lit(-1)))
+        .withColumn("band_downgraded", flag(F.col("band_enc") < F.col("_last")))
+        .select(*(quoted(c) for c in df.columns if c not in ("band_enc", "band_downgraded")), "band_enc", "band_downgraded")
+    )
 
 
 # --- cohort, labels, composites ---------------------------------------------------
@@ -292,13 +312,15 @@ def build_billing_features(
     years: int | Iterable[int] | None = None,
     days: int = 28,
     q25: float | None = None,
-    check: bool = False,
+    check: bool = True,
 ) -> DataFrame:
-    """Kept billing columns and the 13 derived features, one row per customer and year."""
+    """Kept billing columns and the 13 derived features, one row per customer and year.
+
+    The run fails on an empty cohort and on a repeated key, unless ``check`` is off.
+    """
     base = keep_columns(cohort_rows(bills, years, days), s.BILLING_KEEP)
-    if check:
-        require_non_empty(base, "the post-renewal window")
-    return low_release_score(base, q25).withColumns(billing_flags())
+    done = low_release_score(base, q25).withColumns(billing_flags())
+    return guarded(done, base) if check else done
 
 
 def composites(

@@ -67,13 +67,23 @@ def pr_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> D
 
 
 def roc_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """False and true positive rate at each distinct threshold."""
-    return thresholds(df, score, label, by).select(
+    """False and true positive rate at each distinct threshold, from the origin (0, 0) on.
+
+    The origin lies above every score and has no threshold.
+    """
+    points = thresholds(df, score, label, by).select(
         *by,
         "threshold",
         F.try_divide(F.col("fp").cast("double"), F.col("negatives")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("positives")).alias("tpr"),
     )
+    start = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    return points.unionByName(start.select(
+        *by,
+        F.lit(None).cast("double").alias("threshold"),
+        F.lit(0.0).alias("fpr"),
+        F.lit(0.0).alias("tpr"),
+    ))
 
 
 def _rank_metrics() -> dict[str, Column]:
@@ -256,7 +266,10 @@ def threshold_table(
 
 
 def risk_tier(df: DataFrame, score: str = "churn_probability", approx: bool = False) -> DataFrame:
-    """Critical from the 90th percentile, High from the 70th, Medium from the 40th, else Low."""
+    """Critical from the 90th percentile, High from the 70th, Medium from the 40th, else Low.
+
+    A missing score has no tier.
+    """
     cuts = quantiles(df, score, {"p90": 0.9, "p70": 0.7, "p40": 0.4}, approx=approx)
     cut = cuts.select(F.struct("p90", "p70", "p40")).scalar()
     p = F.col(score)
@@ -265,7 +278,7 @@ def risk_tier(df: DataFrame, score: str = "churn_probability", approx: bool = Fa
         F.when(p >= F.col("_cut.p90"), "Critical")
         .when(p >= F.col("_cut.p70"), "High")
         .when(p >= F.col("_cut.p40"), "Medium")
-        .otherwise("Low"),
+        .when(p.isNotNull(), "Low"),
     ).drop("_cut")
 
 

@@ -196,7 +196,7 @@ def contribution_points(
 
 
 def global_importance(
-    explained: DataFrame, names: Sequence[str], k: int | None = 20
+    explained: DataFrame, names: Sequence[str], k: int | None = None
 ) -> DataFrame:
     """Mean absolute contribution per feature; one wide aggregate, no explode."""
     row = explained.agg(*[

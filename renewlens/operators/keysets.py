@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from renewlens.operators.ladder import BUCKET_ROWS
+
 
 def key_intersection(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return a.select(*key).intersect(b.select(*key))
@@ -46,11 +48,12 @@ def stratified_folds(
 
     The exact round robin needs the position of each row within its label. Rows get a hash bucket
     first, positions are counted inside (label, bucket), and the bucket totals below are added. So a
-    label with most of the rows is spread over all buckets instead of one window task.
+    label with most of the rows is spread over all buckets instead of one window task. The number of buckets
+    follows the number of rows. The input is read three times, so callers stage it first.
     """
     keys = [key] if isinstance(key, str) else list(key)
     spark = df.sparkSession
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
     rows = df.withColumn("_h", F.md5(F.concat(text, F.lit(str(seed)))))
     # leading hex digits order the buckets the same way as the full hash

@@ -6,8 +6,9 @@ of rows at or below a value. A window over the whole table would put everything
 1. rows are reduced to one row per distinct value with its class counts (partial aggregation first)
    and staged, so the input is read exactly once;
 2. cut points from a mergeable quantile sketch split the distinct values into ordered buckets. They
-   only balance the work and never change the result, so a sketch is enough. At most one double per
-   shuffle partition reaches the driver, and as literals the buckets are the same on every retry;
+   only balance the work and never change the result, so a sketch is enough. One double per bucket
+   reaches the driver, a million values to a bucket, and as literals the buckets are the same on
+   every retry;
 3. running sums inside a bucket and totals of the buckets below it add up to the global count.
 """
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from renewlens.functions import scalars as fn
 from renewlens.session import stage
 
-MAX_BUCKETS = 4096
+#: Distinct values of one bucket, about; a bucket is one window group.
+BUCKET_ROWS = 1_000_000
 
 
 def cut_points(df: DataFrame, value: Column, buckets: int) -> list[float]:
@@ -45,10 +47,7 @@ def score_ladder(
 
     ``counts`` maps a class name to a 0/1 column. Rows without value or group are left out.
     """
-    spark = df.sparkSession
     by = list(by)
-    if buckets is None:
-        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     v = F.col(fn.quoted(value)).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v))
     for name in by:
@@ -59,6 +58,9 @@ def score_ladder(
             *[F.sum(c).cast("bigint").alias(f"n_{name}") for name, c in counts.items()]
         )
     )
+    if buckets is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(partitions, -(-steps.count() // BUCKET_ROWS))
     cuts = cut_points(steps, F.col("value"), buckets)
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]

@@ -153,7 +153,7 @@ def with_folds(
 ) -> DataFrame:
     """Labelled rows with their fold, staged so that all fits of a search read the same table."""
     labelled = df.where(F.col(label).isNotNull())
-    return stage(stratified_folds(labelled, label, k, key))
+    return stage(stratified_folds(stage(labelled), label, k, key))
 
 
 def cross_validate_folds(
@@ -263,12 +263,14 @@ def select_features(
 
 
 def highest_risk(
-    scored: DataFrame, k: int = 3, label: str = "churn_label", key: str = "Co_Ref"
+    scored: DataFrame, k: int = 3, label: str = "churn_label",
+    key: Sequence[str] = ("Co_Ref", "Renewal_Year"),
 ) -> DataFrame:
-    """The k rows with the highest probability, with their label."""
+    """The k rows with the highest probability, with their label; equals go by the full key."""
+    keys = [c for c in key if c in scored.columns]
     return (
-        scored.select(key, SCORE, label)
-        .orderBy(F.desc(SCORE), key)
+        scored.select(*keys, SCORE, label)
+        .orderBy(F.desc(SCORE), *keys)
         .limit(k)
     )
 

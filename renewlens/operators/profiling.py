@@ -21,6 +21,7 @@ from renewlens.functions import scalars as fn
 from renewlens.functions.scalars import flag, quoted
 from renewlens.operators.cohort import not_open
 from renewlens.operators.ladder import quantiles, quantiles_of_ladder, score_ladder
+from renewlens.session import stage
 
 OUTCOME = "Prospect_Outcome"
 
@@ -204,7 +205,7 @@ def crosstab_row_pct(
     domain = df.sparkSession.createDataFrame(
         [(i, v) for i, v in enumerate(order)], f"position int, {row} string"
     )
-    return F.broadcast(domain).join(pct, row, "left")
+    return domain.join(pct, row, "left")
 
 
 def count_by_two(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -389,21 +390,25 @@ def feature_lift(df: DataFrame, flags: Sequence[str], label: str = "churn_label"
 def describe(
     df: DataFrame, columns: Sequence[str], by: str | None = None, approx: bool = False
 ) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles per column, overall or per group."""
+    """Count, mean, sample deviation, extremes and quartiles per column, overall or per group.
+
+    NaN counts as missing everywhere. A column without values, overall or in a group, has count 0.
+    """
     by_cols = [by] if by else []
-    long = df.select(
-        *by_cols, *[F.col(quoted(c)).cast("double").alias(c) for c in columns]
-    ).unpivot(by_cols, list(columns), "column", "value").where(F.col("value").isNotNull())
+    values = [
+        F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns
+    ]
+    long = df.select(*by_cols, *values).unpivot(by_cols, list(columns), "column", "value")
     keys = [*by_cols, "column"]
     moments = long.groupBy(*keys).agg(
-        F.count("*").alias("count"),
+        F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
     cuts = quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys, approx)
-    return moments.join(cuts.drop("n"), keys).select(
+    return moments.join(cuts.drop("n"), keys, "left").select(
         *keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
@@ -634,87 +639,96 @@ def unparsed_dates(df: DataFrame, parsed: str) -> DataFrame:
 
 # --- correlation ---------------------------------------------------------------------
 
-_WIDE_PAIRS = 66
-
-
-def _pair_moments(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Few pairs: built-in moments of pair-complete rows, one aggregate, one output row."""
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        ok = F.col(quoted(a)).isNotNull() & F.col(quoted(b)).isNotNull()
-        x = F.when(ok, F.col(quoted(a)).cast("double"))
-        y = F.when(ok, F.col(quoted(b)).cast("double"))
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        aggs += [F.count(x).alias(f"n_{i}"), r.alias(f"r_{i}")]
-    row = df.agg(*aggs)
-    entries = F.array(*[
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n_{i}").alias("n"),
-            F.col(f"r_{i}").alias("r"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return row.select(F.inline(entries))
+_MOMENTS = ("n", "ma", "mb", "caa", "cbb", "cab")
 
 
-def _matrix_moments(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Many pairs: each task adds up column products of its batches, Spark sums the tasks.
+def _task_moments(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Counts, means and centred products of each pair's complete rows, one row per pair and task.
 
-    The columns are shifted by their overall means first, so that sums of squares keep their
-    precision. A task emits one row per pair, whatever its input size.
+    Batches are centred on their own means before products are added and merged by the usual update
+    for centred sums, so a large offset costs no precision. NaN counts as missing.
     """
-    names = list(columns)
-    x = df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    means = x.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in x.columns]).first()
-    shift = np.array(list(means), dtype=float)
-    index = {c: i for i, c in enumerate(names)}
+    index = {c: i for i, c in enumerate(columns)}
     ia = np.array([index[a] for a, _ in pairs])
     ib = np.array([index[b] for _, b in pairs])
+    x = df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def of_batch(v: np.ndarray) -> list[np.ndarray]:
+        known = ~np.isnan(v)
+        count = known.sum(axis=0)
+        shift = np.where(known, v, 0.0).sum(axis=0) / np.maximum(count, 1)
+        z = np.where(known, v - shift, 0.0)
+        m = known.astype(float)
+        n, sa, sb = (m.T @ m)[ia, ib], (z.T @ m)[ia, ib], (m.T @ z)[ia, ib]
+        saa, sbb, sab = ((z * z).T @ m)[ia, ib], (m.T @ (z * z))[ia, ib], (z.T @ z)[ia, ib]
+        safe = np.maximum(n, 1)
+        return [
+            n, shift[ia] + sa / safe, shift[ib] + sb / safe,
+            np.maximum(saa - sa * sa / safe, 0.0), np.maximum(sbb - sb * sb / safe, 0.0), sab - sa * sb / safe,
+        ]
+
+    def merge(p: list[np.ndarray], q: list[np.ndarray]) -> list[np.ndarray]:
+        n = p[0] + q[0]
+        safe = np.maximum(n, 1)
+        da, db = np.where(p[0] > 0, q[1] - p[1], 0.0), np.where(p[0] > 0, q[2] - p[2], 0.0)
+        da, db = np.where(q[0] > 0, da, 0.0), np.where(q[0] > 0, db, 0.0)
+        w = p[0] * q[0] / safe
+        share = q[0] / safe
+        return [
+            n,
+            np.where(p[0] > 0, p[1] + da * share, q[1]), np.where(p[0] > 0, p[2] + db * share, q[2]),
+            p[3] + q[3] + da * da * w, p[4] + q[4] + db * db * w, p[5] + q[5] + da * db * w,
+        ]
 
     def moments(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         acc = None
         for pdf in batches:
-            v = pdf.to_numpy(dtype=float)
-            m = ~np.isnan(v)
-            z = np.where(m, v - shift, 0.0)
-            m = m.astype(float)
-            part = np.stack([m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z])
-            acc = part if acc is None else acc + part
+            part = of_batch(pdf.to_numpy(dtype=float))
+            acc = part if acc is None else merge(acc, part)
         if acc is not None:
-            n, sa, sb, saa, sbb, sab = (p[ia, ib] for p in acc)
-            yield pd.DataFrame(
-                {"i": ia, "j": ib, "n": n, "sa": sa, "sb": sb, "saa": saa, "sbb": sbb, "sab": sab}
-            )
-
-    sums = (
-        x.mapInPandas(
-            moments,
-            "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double",
-        )
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    )
-    n = F.col("n")
-    cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
-    va = F.greatest(F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), n), F.lit(0.0))
-    vb = F.greatest(F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), n), F.lit(0.0))
-    # a spread this far below the sum of squares is rounding noise of a constant column
-    flat = (va <= 1e-13 * F.col("saa")) | (vb <= 1e-13 * F.col("sbb"))
-    labels = F.array(*[F.lit(c) for c in names])
-    return sums.select(
-        F.element_at(labels, F.col("i") + 1).alias("a"),
-        F.element_at(labels, F.col("j") + 1).alias("b"),
-        n.cast("bigint").alias("n"),
-        F.when(~flat, F.try_divide(cov, F.sqrt(va * vb))).alias("r"),
-    )
+            yield pd.DataFrame({"pair": np.arange(len(ia)), **dict(zip(_MOMENTS, acc))})
+
+    return x.mapInPandas(moments, "pair int, " + ", ".join(f"{m} double" for m in _MOMENTS))
 
 
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]
 ) -> DataFrame:
-    """Pearson r and row count of each pair over the rows complete in both; constants give null."""
-    few = len(pairs) <= _WIDE_PAIRS
-    return (_pair_moments if few else _matrix_moments)(df, columns, pairs)
+    """Pearson r and row count of each pair over the rows complete in both; constants give null.
+
+    The table is read once. The moments of the tasks, one small row per pair and task, are staged: their
+    overall means come first, then each task's products are moved to them.
+    """
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, n bigint, r double")
+    parts = stage(_task_moments(df, columns, pairs))
+    n = F.col("n")
+    means = parts.groupBy("pair").agg(
+        F.sum("n").alias("all"),
+        F.try_divide(F.sum(n * F.col("ma")), F.sum("n")).alias("mean_a"),
+        F.try_divide(F.sum(n * F.col("mb")), F.sum("n")).alias("mean_b"),
+    )
+    da, db = F.col("ma") - F.col("mean_a"), F.col("mb") - F.col("mean_b")
+    sums = parts.join(means, "pair").groupBy("pair").agg(
+        F.max("all").alias("n"),
+        F.max("mean_a").alias("mean_a"),
+        F.max("mean_b").alias("mean_b"),
+        F.sum(F.col("caa") + F.coalesce(n * da * da, F.lit(0.0))).alias("va"),
+        F.sum(F.col("cbb") + F.coalesce(n * db * db, F.lit(0.0))).alias("vb"),
+        F.sum(F.col("cab") + F.coalesce(n * da * db, F.lit(0.0))).alias("cov"),
+    )
+
+    def flat(v: str, mean: str) -> Column:
+        # a spread of 1e-13 of the size of the values is rounding noise of a constant column
+        return F.col(v) <= n * F.pow(F.col(mean) * 1e-13, F.lit(2.0))
+
+    r = F.try_divide(F.col("cov"), F.sqrt("va") * F.sqrt("vb"))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    known = (n > 0) & ~flat("va", "mean_a") & ~flat("vb", "mean_b")
+    name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1)
+    return sums.select(
+        name(0).alias("a"), name(1).alias("b"), n.cast("bigint").alias("n"), F.when(known, r).alias("r")
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def mann_whitney_tests(
     """Rank-sum test of label 0 against label 1, one row per feature.
 
     ``u_statistic`` counts the pairs in which the label-0 value is larger, ties as half. The p-value
-    is the normal approximation with tie and continuity correction; ``effect_size_r`` is abs(z)/sqrt(n)
+    is the normal approximation with tie and continuity correction; a feature without values has none; ``effect_size_r`` is abs(z)/sqrt(n)
     with z taken without tie correction.
     """
     ladder = _two_class_ladder(df, features, label)
@@ -127,7 +127,7 @@ def mann_whitney_tests(
         n0 * n1 / 12.0 * (n + 1.0 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1.0)), F.lit(0.0)))
     )
     z = F.try_divide(F.greatest(u, n0 * n1 - u) - middle - 0.5, tie_sd)
-    return sums.select(
+    stats = sums.select(
         "feature",
         n0.cast("bigint").alias("n_0"),
         n1.cast("bigint").alias("n_1"),
@@ -136,7 +136,8 @@ def mann_whitney_tests(
         F.try_divide(F.abs(F.try_divide(u - middle, plain_sd)), F.sqrt(n)).alias("effect_size_r"),
         F.try_divide(F.col("s0"), n0).alias("mean_0"),
         F.try_divide(F.col("s1"), n1).alias("mean_1"),
-    ).select(
+    )
+    return _every_feature(stats, features, ["n_0", "n_1"]).select(
         "*", normal_two_sided_p("z").alias("p_value")
     ).withColumn("significant", F.col("p_value") < ALPHA)
 
@@ -145,32 +146,40 @@ def mann_whitney_test(df: DataFrame, feature: str, label: str = "churn_label") -
     return mann_whitney_tests(df, [feature], label)
 
 
-def _ks(ladder: DataFrame) -> DataFrame:
-    f0 = F.col("cum_0").cast("double") / F.col("tot_0")
-    f1 = F.col("cum_1").cast("double") / F.col("tot_1")
+def _every_feature(stats: DataFrame, features: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """A row for every feature: one without values has counts of 0 and no statistics."""
+    listed = stats.sparkSession.createDataFrame([(c,) for c in features], "feature string")
+    return listed.join(stats, "feature", "left").fillna(0, subset=list(counts)).select(*stats.columns)
+
+
+def _ks(ladder: DataFrame, features: Sequence[str]) -> DataFrame:
+    f0 = F.try_divide(F.col("cum_0").cast("double"), F.col("tot_0"))
+    f1 = F.try_divide(F.col("cum_1").cast("double"), F.col("tot_1"))
     value = F.col("value")
-    return ladder.groupBy("feature").agg(
+    stats = ladder.groupBy("feature").agg(
         F.max("tot_0").alias("n_a"),
         F.max("tot_1").alias("n_b"),
         F.max(F.abs(f0 - f1)).alias("ks_stat"),
         F.try_divide(F.sum(F.col("n_0") * value), F.max("tot_0")).alias("mean_a"),
         F.try_divide(F.sum(F.col("n_1") * value), F.max("tot_1")).alias("mean_b"),
     )
+    return _every_feature(stats, features, ["n_a", "n_b"])
 
 
 def _with_ks_p(stats: DataFrame) -> DataFrame:
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     return stats.withColumn(
-        "ks_p", kolmogorov_p(F.col("ks_stat"), na * nb / (na + nb))
+        "ks_p", kolmogorov_p(F.col("ks_stat"), F.try_divide(na * nb, na + nb))
     ).withColumn("shifted", F.col("ks_p") < DRIFT_ALPHA)
 
 
 def drift_report(
-    train: DataFrame, test: DataFrame, features: Sequence[str], limit: int | None = 20
+    train: DataFrame, test: DataFrame, features: Sequence[str], limit: int | None = None
 ) -> DataFrame:
     """Two-sample distance of each feature between two tables, largest first.
 
-    Only the first ``limit`` features are compared, as in the published report; None compares all.
+    ``limit`` keeps the first features only; the published report has 20. A feature without values on
+    either side has its counts and nothing else.
     """
     features = [c for c in features if c in train.columns and c in test.columns][:limit]
     sides = [
@@ -179,8 +188,7 @@ def drift_report(
     ]
     counts = {"0": fn.flag(F.col("side") == 0), "1": fn.flag(F.col("side") == 1)}
     ladder = score_ladder(sides[0].unionByName(sides[1]), "value", counts, by=["feature"])
-    complete = ladder.where((F.col("tot_0") > 0) & (F.col("tot_1") > 0))
-    return _with_ks_p(_ks(complete)).orderBy(F.desc("ks_stat"), "feature")
+    return _with_ks_p(_ks(ladder, features)).orderBy(F.desc_nulls_last("ks_stat"), "feature")
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -189,4 +197,4 @@ def ks_two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 def ks_by_label(df: DataFrame, features: Sequence[str], label: str = "churn_label") -> DataFrame:
     """The same distance between the two label groups of one table."""
-    return _with_ks_p(_ks(_two_class_ladder(df, features, label)))
+    return _with_ks_p(_ks(_two_class_ladder(df, features, label), features))

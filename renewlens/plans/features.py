@@ -24,12 +24,13 @@ def build_cohort_features(
     include_labels: bool = True,
     days: int = 28,
     q25: float | None = None,
-    check: bool = False,
+    check: bool = True,
 ) -> DataFrame:
     """Billing, support-call and renewal-call features of every cohort row, plus composites.
 
     Keyed by customer and renewal year, so one plan serves any number of years. Calls are reduced
-    to one row per key before the joins; every exchange is on that key.
+    to one row per key before the joins; every exchange is on that key. So a join can change neither the
+    number of rows nor their keys; an empty cohort or a repeated key fails the run.
     """
     base = c.build_billing_features(bills, years, days, q25, check)
     df = c.left_enrich(base, b.build_cc_features(cc, years), c.KEY)

@@ -12,6 +12,7 @@ from renewlens.operators.evaluation import churn_flag, risk_tier
 from renewlens.operators.explain import CONTRIBUTIONS, explain, top_reasons
 from renewlens.operators.model import SCORE, feature_names, score
 from renewlens.session import stage
+from renewlens.sources.tables import row_key
 
 
 def predictions(
@@ -44,4 +45,4 @@ def predictions(
 
 
 def sorted_predictions(scored: DataFrame) -> DataFrame:
-    return scored.orderBy(F.desc(SCORE), "Co_Ref")
+    return scored.orderBy(F.desc(SCORE), *row_key(scored))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,16 +29,17 @@ def build_session(app_name: str = "renewlens", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` when the cluster names one.
+    """Folder all executors can reach: ``spark.checkpoint.dir``, which a cluster has to name.
 
-    Only a local session without any checkpoint folder gets a temporary one.
+    A session whose only executor is this process, as in tests, gets a temporary folder where the
+    setting is missing.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="renewlens-"))
     return context.getCheckpointDir()
@@ -56,6 +58,13 @@ def stage(df: DataFrame) -> DataFrame:
     lineage, and carry sizes that let the planner choose joins for the rest of the plan.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has staged; tables read from it are gone afterwards."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stage-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,11 +19,11 @@ def normalise_nulls(df: DataFrame, tokens: Sequence[str] = s.NULL_TOKENS) -> Dat
     return df.withColumns({c: fn.null_token_to_null(fn.quoted(c), tokens) for c in text})
 
 
-def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV with every column as text: no type inference pass over the data.
 
-    Quoted fields may contain line breaks, which needs ``multi_line`` and makes one file one split;
-    set it to False for files known to have no such fields, so that large files are split.
+    Large files are split between tasks. Files whose quoted fields contain line breaks need
+    ``multi_line``, which makes one file one split; :func:`broken_quotes` finds such files.
     """
     return (
         spark.read.option("header", True)
@@ -35,27 +35,39 @@ def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     )
 
 
-def read_table(spark: SparkSession, path: str, name: str, multi_line: bool = True) -> DataFrame:
+def broken_quotes(spark: SparkSession, path: str) -> DataFrame:
+    """One row: lines of the files and lines with an odd number of quotes.
+
+    A line with an odd number opens or closes a field that goes over a line break, so any such line
+    means that the files have to be read with ``multi_line`` or are damaged.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).agg(
+        F.count("*").alias("n_lines"), F.count_if(quotes % 2 == 1).alias("n_broken")
+    )
+
+
+def read_table(spark: SparkSession, path: str, name: str, multi_line: bool = False) -> DataFrame:
     return conform(normalise_nulls(read_text_csv(spark, path, multi_line)), s.TABLES[name])
 
 
-def read_billings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_billings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return read_table(spark, path, "billings", multi_line)
 
 
-def read_cc_calls(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_cc_calls(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return read_table(spark, path, "cc_calls", multi_line)
 
 
-def read_emails(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_emails(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return read_table(spark, path, "emails", multi_line)
 
 
-def read_renewal_calls(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_renewal_calls(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return read_table(spark, path, "renewal_calls", multi_line)
 
 
-def read_all(spark: SparkSession, folder: str, multi_line: bool = True) -> dict[str, DataFrame]:
+def read_all(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:
     return {n: read_table(spark, f"{folder}/{n}.csv", n, multi_line) for n in s.TABLES}
 
 
@@ -82,10 +94,15 @@ def read_feature_list(spark: SparkSession, path: str) -> list[str]:
     return spark.read.schema("features array<string>").json(path).first()["features"]
 
 
+def row_key(df: DataFrame) -> list[str]:
+    """The columns that name a row: customer and, where the table has it, renewal year."""
+    return [c for c in ("Co_Ref", "Renewal_Year") if c in df.columns]
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Score table, highest risk first across and within the part files."""
     (
-        df.orderBy(F.desc("churn_probability"), "Co_Ref")
+        df.orderBy(F.desc("churn_probability"), *row_key(df))
         .withColumn("churn_probability", F.round("churn_probability", 4))
         .write.mode("overwrite")
         .option("header", True)
@@ -94,8 +111,13 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def report_columns(df: DataFrame) -> DataFrame:
-    """Hypothesis table with the published headers and marks, as text where marks need it."""
-    no_lift = (F.col("test") == "Chi-square") & (F.col("churn_if_0") == 0)
+    """Hypothesis table with the published headers and marks, as text where marks need it.
+
+    The lift is marked as absent unless churn at 0 is above nothing. It is computed from the unrounded
+    rates, so it is missing exactly there or where the feature is never 1.
+    """
+    never_one = F.col("churn_if_1").isNull() & F.col("churn_if_0").isNotNull()
+    no_lift = (F.col("test") == "Chi-square") & F.col("lift").isNull() & ~never_one
     marked = df.withColumns({
         "lift": F.when(no_lift, s.NO_LIFT).otherwise(F.col("lift").cast("string")),
         "significant": F.when(F.col("significant"), s.SIGNIFICANT_MARK).otherwise(
