@@ -723,6 +723,31 @@ def correlation_matrix_wide(t: Tables) -> DataFrame:
     return p.correlation_matrix(t.features, _WIDE)
 
 
+_HARD = {
+    "paid": "Total_Net_Paid", "offset": "1e9 + Tenure_Years", "fixed": "0.1 + 0 * Total_Net_Paid",
+    "holes": "case when Tenure_Years % 3 = 1 then cast('NaN' as double) else Total_Net_Paid end",
+    "gaps": "case when Tenure_Years > 0 then Last_Total_Net_Paid end",
+}
+
+
+@query(
+    "P27",
+    _union([
+        f"""select '{x}' as a, '{y}' as b, count(*) as n,
+              {"null::double" if "fixed" in (x, y) else f'corr("{x}", "{y}")'} as r
+            from (select {", ".join(f'({e})::double as "{c}"' for c, e in _HARD.items())} from bills)
+            where not isnan(coalesce("{x}", 'NaN'::double)) and not isnan(coalesce("{y}", 'NaN'::double))"""
+        for i, x in enumerate(_HARD) for y in list(_HARD)[i + 1:]
+    ]),
+    ["bills"],
+    ["r"],
+)
+def correlation_hard_columns(t: Tables) -> DataFrame:
+    """NaN, nulls, a constant and a large offset."""
+    df = t.bills.select(*[F.expr(e).cast("double").alias(c) for c, e in _HARD.items()])
+    return p.correlation_matrix(df, list(_HARD))
+
+
 @query(
     "P28",
     _union([

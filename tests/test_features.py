@@ -127,8 +127,15 @@ def test_one_year_equals_the_all_years_table(data, table):
 
 
 def test_empty_cohort_raises(data):
-    with pytest.raises(ValueError):
-        c.build_billing_features(data["billings"], 1990, check=True)
+    with pytest.raises(Exception, match="no rows in the post-renewal window"):
+        c.build_billing_features(data["billings"], 1990).count()
+    assert c.build_billing_features(data["billings"], 1990, check=False).count() == 0
+
+
+def test_repeated_key_raises(data):
+    twice = data["billings"].unionAll(data["billings"])
+    with pytest.raises(Exception, match="repeated key"):
+        c.build_billing_features(twice).collect()
 
 
 def test_uniqueness_report(spark):
@@ -149,11 +156,12 @@ def test_csv_keeps_quotes_and_line_breaks(spark, tmp_path):
         '"x1","2024","05/02/2024","said ""no"",\nthen left"\n'
         'NA,None,N/A,\n'
     )
-    rows = src.read_renewal_calls(spark, str(path)).collect()
+    assert src.broken_quotes(spark, str(path)).first() == (4, 2)
+    rows = src.read_renewal_calls(spark, str(path), multi_line=True).collect()
     assert rows[0]["Mentioned_Competitors"] == 'said "no",\nthen left'
     assert [rows[1][k] for k in ("Co_Ref", "Call_Year", "Call_Date", "Mentioned_Competitors")] == [None] * 4
     assert set(s.RC_COLUMNS) <= set(rows[0].asDict())
-    clean = clean_all({"renewal_calls": src.read_renewal_calls(spark, str(path))})["renewal_calls"]
+    clean = clean_all({"renewal_calls": src.read_renewal_calls(spark, str(path), multi_line=True)})["renewal_calls"]
     assert clean.first()["Call_Date"] == dt.datetime(2024, 2, 5)
 
 

@@ -111,12 +111,28 @@ def test_key_sets_with_a_dominant_key(spark):
     assert sorted((r["Co_Ref"] or "", r["hit"]) for r in flags) == [("", 0), ("hot", 1), ("none", 0)]
 
 
-def test_band_list_is_bounded(spark):
+def test_any_number_of_bands(spark):
     df = spark.range(1500).select(
-        F.concat(F.lit("B"), F.col("id")).alias("Band"), F.lit(None).cast("string").alias("Last_Band")
+        F.format_string("B%04d", "id").alias("Band"), F.format_string("B%04d", F.col("id") + 1).alias("Last_Band")
     )
-    with pytest.raises(ValueError):
-        c.band_enc_sorted(df)
+    got = c.band_enc_sorted(df).orderBy("Band").collect()
+    assert [r["band_enc"] for r in got] == list(range(1500))
+    # the band after the last one does not occur as a band
+    assert sum(r["band_downgraded"] for r in got) == 1499
+
+
+def test_correlation_of_hard_columns(spark):
+    """NaN and null are missing, constants have no r, a large offset costs nothing, |r| <= 1."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=2000)
+    pdf = pd.DataFrame({"x": x, "y": 1e9 + x, "c": 0.1, "n": np.where(np.arange(2000) % 10 == 0, np.nan, 2 * x)})
+    df = spark.createDataFrame(pdf).repartition(6).withColumn("z", F.lit(None).cast("double"))
+    for names in (["x", "y", "c", "n", "z"], ["x", "y"], ["x", "c"], ["x", "n"]):
+        got = rows(p.correlation_matrix(df, names), "a", "b")
+        for (a, b), r in got.items():
+            assert (r["r"] is None) == bool({"c", "z"} & {a, b})
+            assert r["r"] is None or (abs(r["r"]) <= 1 and abs(r["r"] - 1) < 1e-6)
+            assert r["n"] == (0 if "z" in (a, b) else 1800 if "n" in (a, b) else 2000)
 
 
 def test_histogram_equals_numpy(spark):
