@@ -108,3 +108,90 @@ def highest_risk(t: Tables) -> DataFrame:
 def score_cohort(t: Tables) -> DataFrame:
     df, _, model = _fitted(t)
     return sorted_predictions(predictions(df, model, 0.3))
+
+
+# --- parts without a learner, on arrays and scores made from table columns ----------------------
+
+_PARTS = {
+    "price": "coalesce(Total_Net_Paid, 0) / 1000 - 150",
+    "tenure": "Tenure_Years - 2",
+    "anchors": "coalesce(Current_Anchorings, 0) * -1.5",
+}
+_PARTS_SQL = " union all ".join(
+    f"select Co_Ref, Renewal_Year, '{name}' as feature, ({e})::double as contribution from bills"
+    for name, e in _PARTS.items()
+)
+
+
+def _explained(t: Tables) -> DataFrame:
+    parts = F.array(*[F.expr(e).cast("double") for e in _PARTS.values()])
+    return t.bills.select(*KEY, parts.alias(x.CONTRIBUTIONS))
+
+
+@query(
+    "M11",
+    f"""select Co_Ref, Renewal_Year, string_agg(word, ' | ' order by pos) as top_reasons from (
+          select Co_Ref, Renewal_Year,
+            feature || case when contribution > 0 then ' (increases risk)' else ' (decreases risk)' end as word,
+            row_number() over (partition by Co_Ref, Renewal_Year order by abs(contribution) desc, feature) as pos
+          from ({_PARTS_SQL})) where pos <= 2 group by Co_Ref, Renewal_Year""",
+    ["bills"],
+)
+def reasons_of_columns(t: Tables) -> DataFrame:
+    return x.top_reasons(_explained(t), list(_PARTS), 2).select(*KEY, "top_reasons")
+
+
+@query("M13", _PARTS_SQL, ["bills"], ["contribution"])
+def contribution_points_of_columns(t: Tables) -> DataFrame:
+    return x.contribution_points(_explained(t), list(_PARTS), KEY)
+
+
+@query(
+    "M12",
+    f"select feature, avg(abs(contribution)) as mean_abs from ({_PARTS_SQL}) group by feature",
+    ["bills"],
+    ["mean_abs"],
+)
+def importance_of_columns(t: Tables) -> DataFrame:
+    return x.global_importance(_explained(t), list(_PARTS))
+
+
+@query(
+    "M07",
+    f"""with i as (select feature, avg(abs(contribution)) as importance from ({_PARTS_SQL}) group by feature)
+        select feature, importance from i where importance >= 0.05 * (select max(importance) from i)""",
+    ["bills"],
+    ["importance"],
+)
+def important_columns(t: Tables) -> DataFrame:
+    table = x.global_importance(_explained(t), list(_PARTS)).withColumnRenamed("mean_abs", "importance")
+    return m.important_features(table, 0.05)
+
+
+@query(
+    "M14 O04",
+    """select Co_Ref, Renewal_Year, score as churn_probability, label as churn_label from scored
+       order by score desc, Co_Ref, Renewal_Year limit 5""",
+    ["scored"],
+    ["churn_probability"],
+)
+def highest_scores(t: Tables) -> DataFrame:
+    scored = t.scored.withColumnsRenamed({"score": m.SCORE, "label": "churn_label"})
+    return m.highest_risk(scored, 5)
+
+
+@query(
+    "S10",
+    "select Co_Ref, Renewal_Year, round(score / 7, 4) as churn_probability from scored",
+    ["scored"],
+    ["churn_probability"],
+)
+def write_and_read_predictions(t: Tables) -> DataFrame:
+    from renewlens.sources.tables import write_predictions
+
+    path = f"{shared_dir(t.spark)}/io-{uuid.uuid4().hex}"
+    write_predictions(t.scored.select(*KEY, (F.col("score") / 7).alias(m.SCORE)), path)
+    return t.spark.read.option("header", True).csv(path).select(
+        "Co_Ref", F.col("Renewal_Year").cast("int").alias("Renewal_Year"),
+        F.col(m.SCORE).cast("double").alias(m.SCORE),
+    )
