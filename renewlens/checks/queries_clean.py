@@ -127,24 +127,37 @@ def write_and_read_features(t: Tables) -> DataFrame:
     )
 
 
+_LISTED = (
+    "Tenure_Years Current_Anchorings Connection_Qty Discount_Amount Last_Total_Net_Paid "
+    "Renewal_Score_At_Release low_release_score is_first_year auto_renewal_off anchoring_zero "
+    "anchoring_1plus anchoring_3plus band_enc band_downgraded band_upgraded tenure_0_1 tenure_2_3 "
+    "tenure_4_7 tenure_8plus"
+).split()
+# columns that the stand-in tables have only as nulls
+_UNSET = ["Auto_Renewal_Score", "Sustainability_Score", "#_of_Connection"]
+
+
 @query(
     "S09 F08",
-    """select * from (values ('Tenure_Years'), ('Current_Anchorings'), ('Connection_Qty'),
-        ('Discount_Amount'), ('Last_Total_Net_Paid'), ('Auto_Renewal_Score'),
-        ('Renewal_Score_At_Release'), ('Sustainability_Score'), ('#_of_Connection'),
-        ('low_release_score'), ('is_first_year'), ('auto_renewal_off'), ('anchoring_zero'),
-        ('anchoring_1plus'), ('anchoring_3plus'), ('band_enc'), ('band_downgraded'),
-        ('band_upgraded'), ('tenure_0_1'), ('tenure_2_3'), ('tenure_4_7'), ('tenure_8plus'))
-       as names(feature)""",
+    " union all ".join([
+        *(f"select '{c}' as feature, count({c}) as n, sum({c})::double as total from cohort" for c in _LISTED),
+        *(f"select '{c}', 0, null" for c in _UNSET),
+    ]),
+    ["cohort"],
+    ["total"],
 )
 def write_and_read_feature_list(t: Tables) -> DataFrame:
-    from renewlens.operators.cohort import build_billing_features, model_feature_names
+    """The list is written, read back and selects the columns that are summed."""
+    from renewlens.operators.cohort import build_billing_features, keep_columns, model_feature_names
 
     path = _folder(t)
-    names = model_feature_names(build_billing_features(t.bills))
-    src.write_feature_list(t.spark, names, path)
-    back = src.read_feature_list(t.spark, path)
-    return t.spark.createDataFrame([(c,) for c in back], "feature string")
+    table = build_billing_features(t.bills)
+    src.write_feature_list(t.spark, model_feature_names(table), path)
+    names = src.read_feature_list(t.spark, path)
+    chosen = keep_columns(table, names).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names))
+    return chosen.unpivot([], names, "feature", "value").groupBy("feature").agg(
+        F.count("value").alias("n"), F.sum("value").alias("total")
+    )
 
 
 # --- cleaning ------------------------------------------------------------------
