@@ -124,23 +124,27 @@ class Pseudonyms:
 
     def _ip(self, text: str) -> str | None:
         parts = [int(x) for x in text.split(".")]
-        if max(parts) > 255 or not 1 <= parts[0] <= 223 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
+        if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
             return None
-        value = ((parts[0] - 1) * 256 + parts[1]) * 65536 + parts[2] * 256 + parts[3]
-        value = self.feistel.permute(value, 223 << 24, "ip")
-        return ".".join(map(str, ((value >> 24) + 1, value >> 16 & 255, value >> 8 & 255, value & 255)))
+        # unicast addresses among themselves, the reserved and multicast ones likewise
+        heads = range(1, 224) if 1 <= parts[0] <= 223 else (0, *range(224, 256))
+        value = heads.index(parts[0]) << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]
+        value = self.feistel.permute(value, len(heads) << 24, "ip")
+        return ".".join(map(str, (heads[value >> 24], value >> 16 & 255, value >> 8 & 255, value & 255)))
 
     def _phone(self, text: str) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
         lead = "1" if len(digits) == 11 and digits[0] == "1" else ""
         core = digits[len(lead):]
         if len(core) == 10 and (lead or not text.startswith("+")):
-            area, office, line = int(core[:3]) - 200, int(core[3:6]) - 200, int(core[6:])
-            if area < 0 or office < 0:
-                return None
-            value = self.feistel.permute((area * 800 + office) * 10_000 + line, 6_400_000_000, "phone")
-            core = f"{value // 8_000_000 + 200}{value // 10_000 % 800 + 200}{value % 10_000:04d}"
-            return _refill(text, lead + core)
+            # numbers of the assigned kind stay so, and others stay others
+            assigned = lambda x: x[0] > "1" and x[3] > "1"
+            kind, new = assigned(core), core
+            while new == core or assigned(new) != kind:
+                new = f"{self.feistel.permute(int(new), 10**10, 'phone'):010d}"
+                if new == core:
+                    break
+            return _refill(text, lead + new)
         if not text.startswith("+") or not 8 <= len(digits) <= 15:
             return None
         return _refill(text, digits[:2] + self._by_class(digits[2:], "phone:" + digits[:2]))

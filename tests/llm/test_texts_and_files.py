@@ -49,6 +49,12 @@ def test_pseudonyms_keep_formats_and_links():
         assert p.replace("ip", p.replace("ip", ip)) is not None
     assert p.replace("phone", "+1 (319) 555-5132")[0:4] == "+1 ("
     assert re.sub(r"\D", "", p.replace("phone", "+1 (319) 555-5132"))[1:] == re.sub(r"\D", "", p.replace("phone", "319-555-5132"))
+    for phone in ("+1 (017) 555-7713", "+1 (319) 055-7713"):
+        assert p.replace("phone", phone) != phone and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p.replace("phone", phone))
+    digits = [f"{i:010d}" for i in random.Random(1).sample(range(10**10), 3000)]
+    image = {p.replace("phone", f"{d[:3]}-{d[3:6]}-{d[6:]}") for d in digits}
+    assert len(image) == 3000
+    assert p.replace("ip", "233.254.104.120").split(".")[0] in map(str, (0, *range(224, 256))) and p.replace("ip", "1.2.3.256") is None
     assert p.replace("card", "4111111111111112") is None and p.replace("date", "2023-02-30") is None
     assert p.replace("ssn", "000-12-3456") is None and re.fullmatch(r"\d{3}-\d{2}-\d{4}", p.replace("ssn", "123-45-6789"))
     iban = p.replace("iban", "GB82WEST12345698765432")
