@@ -58,6 +58,8 @@ def main() -> None:
     # start the JVM's readers before the clock: one count per input table
     for name in ("orders", "lineitem", "customer", "events"):
         spark.read.parquet(f"{folder}/{name}.parquet").count()
+    # compile and load once: the first headline query runs untimed
+    QUERIES[HEADLINE[0]](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         start = time.perf_counter()
