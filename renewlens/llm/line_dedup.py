@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,18 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return rows.where(text.rlike(WORD)).select(F.xxhash64(text).alias("hash"), "doc_id", "tk", "r.at", "r.until")
 
 
+def _pairs(docs: DataFrame) -> DataFrame:
+    """(hash, doc_id, tk, at, until): all pairs of adjacent lines of which one at least is not blank."""
+    lines = F.split("text", "\n")
+    pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, 2, F.size(lines)).alias("b"))
+    rows = docs.where("text is not null").select("doc_id", "tk", F.posexplode(pairs).alias("i", "p"))
+    rows = rows.where("p.b is not null").where(F.col("p.a").rlike(WORD) | F.col("p.b").rlike(WORD))
+    at = F.col("i") + 1
+    return rows.select(
+        F.xxhash64(F.col("p.a"), F.col("p.b")).alias("hash"), "doc_id", "tk", at.alias("at"), (at + 1).alias("until")
+    )
+
+
 def _for_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Join per-document results by doc_id (null meets null) and fingerprint.
 
@@ -70,18 +84,20 @@ def _for_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(found.hint("merge"), on, how).drop("_id", "_tk")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, occurrences: Callable[[DataFrame], DataFrame] = _occurrences) -> DataFrame:
     """(doc_id, tk, cuts): line ranges of chunks that stand earlier in the corpus, from doc_id, tk, text.
 
     Chunks meet by hash, and only those whose hash comes again are fetched as text. Their bytes are
     compared: one text under a hash makes all its occurrences copies, several are kept apart. Of equal
-    chunks the first stays: smallest doc_id (nulls last), fingerprint, line.
+    chunks the first stays: smallest doc_id (nulls last), fingerprint, line. ``occurrences`` gives the
+    chunks; a pair of lines that shares a line with the first one is no copy of it.
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "at")
-    seen = stage(_occurrences(docs))
+    seen = stage(occurrences(docs))
     often = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    # merged at every size: these grow with the corpus like the per-document results
     again = (
-        seen.join(often, "hash").groupBy("doc_id", "tk")
+        seen.join(often.hint("merge"), "hash").groupBy("doc_id", "tk")
         .agg(F.collect_set(F.struct("hash", "at", "until")).alias("again"))
     )
     fetched = _for_doc(docs, again, "inner").select("doc_id", "tk", F.split("text", "\n").alias("lines"), F.explode("again").alias("r"))
@@ -89,12 +105,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     firsts = texts.groupBy("hash", "chunk").agg(F.min(place).alias("first"))
     # the number of texts under a hash decides whether the hash stands for the bytes
     by_hash = stage(firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")))
-    same = texts.drop("chunk").join(by_hash.where("texts = 1").select("hash", "first"), "hash")
+    same = texts.drop("chunk").join(by_hash.where("texts = 1").select("hash", "first").hint("merge"), "hash")
     apart = texts.join(by_hash.where("texts > 1").select("hash"), "hash", "left_semi")
     other = apart.join(apart.groupBy("chunk").agg(F.min(place).alias("first")), "chunk").select(*same.columns)
+    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
     return (
         same.unionByName(other)
-        .where(place != F.col("first"))
+        .where((place != F.col("first")) & ~(inside & (F.col("at") == F.col("first.at") + 1)))
         .groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "until")).alias("cuts"))
     )
 
@@ -120,6 +137,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     }).drop("tk", "cuts", "lines", "starts", "ends")
 
 
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, with ``text`` left without repeated runs of lines and two counts added.
+
+    A run of two or more lines is repeated if its lines stand in the same order, with nothing between
+    them, earlier in the corpus; a line goes if a pair of adjacent lines over it stands earlier, which
+    is the same, since each pair of a repeated run does. A pair of blank lines alone is no run. Counts,
+    nulls and equal rows are as in :func:`dedup_lines`.
+    """
+    keyed = docs.withColumn("tk", text_key())
+    cuts = stage(repeated(keyed.select("doc_id", "tk", "text"), _pairs))
+    lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    found = _for_doc(keyed, cuts, "left").withColumn("lines", lines)
+    gone = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["at"], c["until"]))))
+    stays = F.array_except(F.sequence(F.lit(1), F.size("lines")), gone)
+    left = F.array_join(F.transform(stays, lambda i: F.element_at("lines", i)), "\n")
+    return found.withColumns({
+        "n_lines": F.size("lines").cast("long"),
+        "n_removed_lines": F.when(F.col("cuts").isNull(), 0).otherwise(F.size(gone)).cast("long"),
+        "text": F.when(F.col("cuts").isNull(), F.col("text")).otherwise(left),
+    }).drop("tk", "cuts", "lines")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Documents without repeated chunks, with the columns of ``docs``.
 

@@ -10,7 +10,7 @@ import uuid
 from renewlens.llm import oracles
 from renewlens.llm.archives import convert, read_warc, write_arc
 from renewlens.llm.decontaminate import verdicts
-from renewlens.llm.line_dedup import dedup_lines
+from renewlens.llm.line_dedup import dedup_lines, dedup_runs
 from renewlens.llm.mixing import mix
 from renewlens.llm.neardup import near_duplicates
 from renewlens.llm.pseudonyms import KINDS as PERSONAL
@@ -93,11 +93,20 @@ def op10_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_runs(_table(spark, folder, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_lines", "n_removed_lines",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_pseudonyms, op3_mix_sources, op4_near_duplicates, op5_quality_rules,
         op6_secret_scan, op7_archives, op8_token_counts, op9_decontaminate, op10_line_chunks,
+        op10_line_runs,
     )
 }
 ORACLES = oracles.ORACLES

@@ -120,6 +120,49 @@ def test_line_chunks_resist_shifts(spark):
     assert "new first line" in got[2].text
 
 
+def _repeated_runs(rows):
+    """rows: (doc_id, text), ids set -> text left: every equal run of two lines or more is searched for, pair of places by pair."""
+    docs, out = [(d, None if t is None else t.split("\n")) for d, t in sorted(rows)], []
+    for k, (d, lines) in enumerate(docs):
+        gone = set()
+        for j, (_, other) in enumerate(docs[: k + 1]):
+            for a in range(len(lines or ())):
+                for b in range(len(other or ()) if j < k else a):
+                    n = 0
+                    while a + n < len(lines) and b + n < (len(other) if j < k else a) and lines[a + n] == other[b + n]:
+                        n += 1
+                    at = [i for i in range(n) if any(brute.words(x) for x in lines[a + max(i - 1, 0):a + min(i + 2, n)])]
+                    if n >= 2:
+                        gone.update(a + i for i in at)
+        out.append((d, None if lines is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return out
+
+
+def test_line_runs_equal_a_search_of_all_places(spark):
+    """Short and long passages between other lines, blank lines, runs within one text, nulls."""
+    import random
+
+    rng = random.Random(5)
+    passages = [[f"p{k} line {i}" for i in range(n)] for k, n in enumerate((2, 3, 5, 8, 20))]
+    rows = [(0, None), (1, ""), (2, "\n\n\n"), (3, "a\na\na"), (4, "b\nc\nb\nc\nb"), (5, "\n\n\nz\n\n"), (6, "\n\nz\n\n\ny")]
+    for d in range(7, 60):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            lines += [f"own {d} {rng.random()}"] + rng.choice([*passages, ["", f"x{rng.randrange(5)}", ""]])
+        rows.append((d, "\n".join(lines)))
+    found = line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(collected(found, "doc_id", "text"), key=repr) == sorted(_repeated_runs(rows), key=repr)
+
+
+def test_line_runs_leave_no_passage(spark):
+    """A passage of three lines without a chunk of its own goes as a whole."""
+    rows = [(d, f"before {d}\n" + "\n".join(f"line {i} {k}" for i in range(3)) + f"\nafter {d}") for k in range(40) for d in (k, 100 + k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_runs(docs).collect()}
+    assert all(got[100 + k].text == f"before {100 + k}\nafter {100 + k}" and got[k].n_removed_lines == 0 for k in range(40))
+    assert line_dedup.dedup_lines(docs).where("doc_id >= 100").agg(F.sum("n_removed_lines")).first()[0] < 120
+
+
 def test_line_dedup_stage(docs, nothing):
     out = line_dedup.without_repeats(docs)
     assert out.schema == docs.schema
