@@ -13,13 +13,13 @@ from renewlens.llm.decontaminate import remove_documents  # noqa: E402
 from renewlens.llm.line_dedup import without_repeats  # noqa: E402
 from renewlens.llm.mixing import take_mix  # noqa: E402
 from renewlens.llm.neardup import keep_one  # noqa: E402
-from renewlens.llm.quality import keep_good  # noqa: E402
+from renewlens.llm.quality import keep_clean  # noqa: E402
 from renewlens.session import stage  # noqa: E402
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, texts as they are."""
-    return keep_good(docs)
+    """Documents that pass the quality rules, without the lines that many documents of their host hold."""
+    return keep_clean(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

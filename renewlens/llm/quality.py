@@ -221,3 +221,58 @@ def remove_shared_lines(
     out = inner.withColumns({"host": _host(), "tk": text_key()}).join(cut, ["host", "tk"], "left")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
     return restore(out.withColumn("text", text))
+
+
+def _host_lines(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(host, tk, doc_id, line, first): lines that over ``min_docs`` documents of a host hold.
+
+    The limit is the same at every size of a host. Documents are told by doc_id and text, so exact
+    copies count one by one, from their numbers per text. doc_id is the smallest of a text, and
+    ``first`` says that the document with it is the first of the host to hold the line.
+    """
+    keys = docs.where(F.col("text").isNotNull()).select("doc_id", _host().alias("host"), text_key().alias("tk"))
+    sizes = keys.groupBy("host", "tk", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "tk").agg(F.sum("one").alias("n"))
+    lines = docs.select("doc_id", _host().alias("host"), text_key().alias("tk"), F.explode(_lines(F.col("text"))).alias("line"))
+    lines = lines.withColumn("line", F.xxhash64(normal_line(F.col("line"))))
+    seen = stage(lines.groupBy("host", "line", "tk").agg(F.min("doc_id").alias("doc_id")).join(sizes, ["host", "tk"]))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    shared = (
+        seen.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.min(first).alias("first"))
+        .where(F.col("n_docs") > min_docs).select("host", "line", F.col("first.tk").alias("first_tk"))
+    )
+    return seen.join(shared, ["host", "line"]).select(
+        "host", "tk", "doc_id", "line", (F.col("tk") == F.col("first_tk")).alias("first")
+    )
+
+
+def cut_host_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    """All columns of ``docs`` as in :func:`quality`, with the lines of many documents cut out of ``text``.
+
+    A line that over ``min_docs`` documents of a host hold goes from all of them but the first.
+    """
+    cut = _host_lines(docs, min_docs).groupBy("host", "tk").agg(
+        F.first("doc_id").alias("_least"), F.collect_set("line").alias("_all"),
+        F.collect_set(F.when(~F.col("first"), F.col("line"))).alias("_rest"),
+    )
+    stats = text_stats(docs.withColumns({"host": _host(), "tk": text_key()}))
+    found = stats.join(cut, ["host", "tk"], "left").withColumn(
+        "_gone", F.when(F.col("doc_id").eqNullSafe(F.col("_least")), F.col("_rest")).otherwise(F.col("_all"))
+    )
+    keep = F.filter(
+        F.split("text", "\n"),
+        lambda x: ~(x.rlike(WORD) & F.array_contains("_gone", F.xxhash64(normal_line(x)))),
+    )
+    some = F.coalesce(F.size("_gone") > 0, F.lit(False))
+    return (
+        found.withColumn("text", F.when(some, F.array_join(keep, "\n")).otherwise(F.col("text")))
+        .withColumn("words_left", F.when(some, count_words(F.col("text"))).otherwise(F.col("n_words")))
+        .withColumn("base_failed", base_failed())
+        .withColumn("kept", ~F.col("base_failed") & ~(some & (F.col("words_left") < F.col("n_words") * F.lit(min_left))))
+        .drop("host", "tk", "_least", "_all", "_rest", "_gone")
+    )
+
+
+def keep_clean(docs: DataFrame, **limits) -> DataFrame:
+    """Documents that pass with their host's shared lines cut out, with the columns of ``docs``."""
+    inner, restore = shield(docs, "doc_id", "text", "source")
+    return restore(cut_host_lines(inner, **limits).where("kept"))

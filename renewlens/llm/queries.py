@@ -15,7 +15,7 @@ from renewlens.llm.mixing import mix
 from renewlens.llm.neardup import near_duplicates
 from renewlens.llm.pseudonyms import KINDS as PERSONAL
 from renewlens.llm.pseudonyms import pseudonymise
-from renewlens.llm.quality import STATS, quality
+from renewlens.llm.quality import STATS, cut_host_lines, quality
 from renewlens.llm.secrets import listed, scan
 from renewlens.llm.substrings import dedup_substrings
 from renewlens.llm.unigram import token_counts
@@ -55,6 +55,14 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *STATS, "base_failed", "kept", "words_left")
 
 
+def op5_host_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = cut_host_lines(_table(spark, folder, "documents", "doc_id", "source", "text"))
+    return found.select(
+        "doc_id", *STATS, "base_failed", "kept", "words_left",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("left_sha256"),
+    )
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan(_table(spark, folder, "documents", "doc_id", "text"))
     base = ("assign", "access", "hex")
@@ -106,7 +114,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_pseudonyms, op3_mix_sources, op4_near_duplicates, op5_quality_rules,
         op6_secret_scan, op7_archives, op8_token_counts, op9_decontaminate, op10_line_chunks,
-        op10_line_runs,
+        op5_host_lines, op10_line_runs,
     )
 }
 ORACLES = oracles.ORACLES

@@ -89,6 +89,31 @@ def test_quality_keeps_columns(docs, rows, nothing):
     assert 0 < after < before
 
 
+def test_host_lines_at_every_host_size(spark):
+    """One host holds a third of the rows; a banner over the limit but far under 10 % of it goes, as does a copied page."""
+    rows = [(i, "big", f"the banner of this host\nown words {i} and {i + 1}") for i in range(30)]
+    rows += [(i, "big", f"other text {chr(97 + i // 26) + chr(97 + i % 26)} without it") for i in range(30, 600)]
+    rows += [(i, f"s{i}", "the banner of this host\nsmall") for i in range(600, 1800)]
+    rows += [(i, "pages", "page line one\npage line two") for i in range(1800, 1830)] + [(1800, "pages", "page line one\npage line two")]
+    rows += [(i, "few", f"line of few\n{i}") for i in range(1830, 1850)] + [(1850, "few", None), (None, "few", "line of none")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    out = quality.cut_host_lines(docs)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == len(rows)
+    assert got[0].text == rows[0][2] and got[0].words_left == 10
+    assert all(got[i].text == f"own words {i} and {i + 1}" and got[i].words_left == 5 for i in range(1, 30))
+    assert got[1800].text == "page line one\npage line two" and all(got[i].text == "" for i in range(1801, 1830))
+    assert all(got[i].text == t for i, h, t in rows if h != "pages" and (h != "big" or i >= 30))
+    # the rule of both limits leaves the banner and the copied page
+    assert quality.depleted(docs).count() == 0
+
+
+def test_clean_documents_keep_columns(docs, nothing):
+    kept = quality.keep_clean(docs, min_docs=5)
+    assert kept.schema == docs.schema and 0 < kept.count() < docs.count()
+    assert quality.keep_clean(nothing).count() == 0
+
+
 def test_line_dedup(narrow, rows):
     got = collected(line_dedup.dedup_lines(narrow.select("doc_id", "text")), "doc_id", "n_lines", "n_chunks", "n_removed_lines", "text")
     expected = brute.dedup_lines(by_id(rows))
