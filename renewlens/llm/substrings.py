@@ -25,8 +25,9 @@ WINDOW = 13
 ANCHOR = 4
 #: Fragment bytes a task gathers before it sends them on, one packet per shard.
 BUFFER_BYTES = 24 << 20
-#: Shards per shuffle partition.
-SHARDS_PER_PARTITION = 2
+#: Shards per shuffle partition at least, and bytes of text for a shard on average at most. Fragments hold about
+#: three times the text.
+SHARDS_PER_PARTITION, SHARD_BYTES = 2, 64 << 20
 
 _CODEC = "zstd"
 _LEVEL = 3
@@ -254,15 +255,21 @@ def _search(doc, tag, first, n_words, size, data, window: int) -> tuple:
     return doc[f], tag[f], (first[f] + inner).astype(np.int32), run.astype(np.int32)
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards for the texts of ``docs``: as many as their bytes need, whatever the number of partitions."""
+    least = SHARDS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-total // SHARD_BYTES))
+
+
 def copied_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shards: int | None = None) -> DataFrame:
     """(doc_id, tag, first, n): windows of each document that start in a document with a smaller id.
 
     ``tag`` is a part of the text's fingerprint and keeps rows with one id and several texts apart.
-    Rows without doc_id or text take no part. ``shards`` bounds the memory of a task: by default two
-    for each shuffle partition.
+    Rows without doc_id or text take no part. ``shards`` bounds the memory of a task, but for
+    one anchor that very many fragments share: by default it follows the bytes of text.
     """
-    spark = docs.sparkSession
-    shards = shards or SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shard_count(docs)
     tag = text_key().bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     known = docs.where("doc_id is not null and text is not null").select("doc_id", tag.alias("tag"), "text")
     packets = _packets(known, shards, window, anchor)

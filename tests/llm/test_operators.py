@@ -30,6 +30,17 @@ def test_substrings(narrow, rows):
     assert got == sorted(brute.substrings(by_id(rows)), key=repr)
 
 
+def test_substring_shards_follow_the_text(spark, narrow, rows, monkeypatch):
+    """More text makes more shards with the same number of partitions, and the result stays."""
+    least = substrings.shard_count(narrow)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 4096)
+    n = sum(len((t or "").encode()) for _, _, t in rows)
+    assert substrings.shard_count(narrow) == -(-n // 4096) > least
+    got = collected(substrings.dedup_substrings(narrow), "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+    assert got == sorted(brute.substrings(by_id(rows)), key=repr)
+    assert substrings.shard_count(narrow.limit(0)) == least
+
+
 def test_substrings_rows_without_id_and_repeated_rows(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(5, text), (5, text), (None, text), (7, text + " tail"), (5, "other " + text)]
