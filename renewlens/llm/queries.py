@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from renewlens.llm import oracles
+from renewlens.llm import alignment, bpe_tree, oracles
 from renewlens.llm.archives import convert, read_warc, write_arc
 from renewlens.llm.decontaminate import verdicts
 from renewlens.llm.line_dedup import dedup_lines, dedup_runs
@@ -17,6 +17,7 @@ from renewlens.llm.pseudonyms import KINDS as PERSONAL
 from renewlens.llm.pseudonyms import pseudonymise
 from renewlens.llm.quality import STATS, cut_host_lines, quality
 from renewlens.llm.secrets import listed, scan
+from renewlens.llm.spelling import spelling_variants
 from renewlens.llm.substrings import dedup_substrings
 from renewlens.llm.unigram import token_counts
 from renewlens.session import shared_dir
@@ -109,12 +110,39 @@ def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    found = spelling_variants(_table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe_tree.VOCABULARY)
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    ids = bpe_tree.encode_texts(docs, path, public_tokenizers.PATTERN).drop("text")
+    return bpe_tree.decode_ids(ids, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    first, second = map(public_tokenizers.path, (alignment.FIRST, alignment.SECOND))
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    digest = lambda g: F.when(g == "", "").otherwise(F.sha2(g.cast("binary"), 256))
+    found = alignment.align(docs, first, second, keep=digest)
+    return found.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_pseudonyms, op3_mix_sources, op4_near_duplicates, op5_quality_rules,
         op6_secret_scan, op7_archives, op8_token_counts, op9_decontaminate, op10_line_chunks,
-        op5_host_lines, op10_line_runs,
+        op5_host_lines, op10_line_runs, op11_spelling_variants, op12_byte_bpe, op13_token_alignment,
     )
 }
 ORACLES = oracles.ORACLES
