@@ -18,7 +18,7 @@ for _tail in (0xC285, 0xC2A0, 0x9A80, *range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x
 
 @dataclass
 class Chunks:
-    """Consecutive pieces of several texts: an end before each blank that follows no white space."""
+    """Consecutive pieces of several texts, cut before blanks that follow no white space."""
 
     raw: np.ndarray  # bytes of all texts
     start: np.ndarray  # byte range of each piece
@@ -37,7 +37,7 @@ class Chunks:
 def chunks(texts: pa.Array, lead: str = "") -> Chunks:
     """Cut ``lead`` + text of each text; a null counts as empty, and nothing has no pieces.
 
-    The pieces start with a blank whose neighbour before is a character other than white space. No
+    A blank that ends its text is no cut. The pieces start with a blank whose neighbour before is a character other than white space. No
     match of a tokenizer's split pattern spans such a place, because blanks stand only at the start
     of a match or in a run of white space, and nothing before a match decides about it.
     """
@@ -54,6 +54,7 @@ def chunks(texts: pa.Array, lead: str = "") -> Chunks:
         tail[1:] += raw[:-2].astype(np.uint16) << np.uint16(8)
         solid = (raw[:-1] > 0x20) & (raw[:-1] != 0x7F) & ~((raw[:-1] >= 0x80) & _SPACES[tail])
         cut[1:-1] = (raw[1:] == 0x20) & solid
+        cut[first[1:] - 1] = False
     cut[first[:-1]] = True
     cut[total] = False
     start = np.flatnonzero(cut)
