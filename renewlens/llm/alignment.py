@@ -2,72 +2,86 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from renewlens.llm.bpe_tree import send_file
-from renewlens.llm.chunks import Memo, chunks
+from renewlens.llm.chunks import chunks, gather
 from renewlens.llm.text import slices
 from renewlens.session import stage
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The blank's stand-in in pieces, and the form of byte pieces (fixed values).
 BLANK, BYTE = "▁", "<0x{:02X}>"
-#: Bytes of text worked on at once; pieces between blanks that a worker remembers.
-SLICE, PIECES = 8 << 20, 60_000
+#: Bytes of text worked on at once, and pieces between blanks that are encoded in one text.
+SLICE, TOGETHER = 4 << 20, 64
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def common_ends(short: list[int], long: list[int]) -> list[tuple[int, int]]:
-    """Places (in short, in long) of the numbers that two ascending lists share.
+def gallop(short: np.ndarray, long: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Place of the first number of ``long`` that is not below each of ``short``, from ``low`` on.
 
-    Each number of the shorter list gallops through the longer one from where the last one stopped:
-    steps double until they pass it, then a binary search looks inside the last step.
+    Both lists ascend. All numbers of the shorter list gallop at once: steps double until they pass the
+    number or the end, then a binary search looks inside the last step.
     """
-    out, low, size = [], 0, len(long)
-    for i, x in enumerate(short):
-        step, high = 1, low
-        while high < size and long[high] < x:
-            low, high, step = high + 1, high + step, step * 2
-        low = bisect_left(long, x, low, min(high, size))
-        if low == size:
-            break
-        if long[low] == x:
-            out.append((i, low))
-            low += 1
-    return out
-
-
-def matched(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Places of the common ends in both lists; the shorter one drives."""
-    if len(ends_a) <= len(ends_b):
-        return common_ends(ends_a, ends_b)
-    return [(a, b) for b, a in common_ends(ends_b, ends_a)]
-
-
-def overlaps(ends_a: list[int], ends_b: list[int], common: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs of places whose byte ranges overlap, by ranks inside the groups.
-
-    The second tokens that end before a first token ends number its rank; those that meet it go from
-    the rank of its start to that of its end.
+    size, low = len(long), low.copy()
+    high, going, step = low.copy(), np.arange(len(short)), 0
+    while len(going):
+        at = np.minimum(low[going] + step, size)
+        passed = (at == size) | (long[np.minimum(at, size - 1)] >= short[going])
+        high[going[passed]] = at[passed]
+        low[going[~passed]] = at[~passed] + 1
+        going, step = going[~passed], max(1, 2 * step)
+    going = np.flatnonzero(low < high)
+    while len(going):
+        middle = (low[going] + high[going]) // 2
+        below = long[middle] < short[going]
+        low[going[below]] = middle[below] + 1
+        high[going[~below]] = middle[~below]
+        going = going[low[going] < high[going]]
+    return low
+
+
+def matched(
+    ends_a: np.ndarray, ends_b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``ends_a`` how many of ``ends_b`` lie below it, and whether it is among them.
+
+    The shorter list drives. Both are cut into texts at the places ``starts``, 0 first, which have to
+    fit; a number is looked for from the start of its text on.
     """
-    out, from_a, from_b = [], 0, 0
-    for to_a, to_b in common:
-        low = from_b
-        for a in range(from_a, to_a + 1):
-            high = bisect_left(ends_b, ends_a[a], low, to_b)
-            out.extend((a, b) for b in range(low, high + 1))
-            low = high + (ends_b[high] == ends_a[a])
-        from_a, from_b = to_a + 1, to_b + 1
-    return out
+    if len(ends_a) <= len(ends_b):
+        low = np.repeat(starts_b, np.diff(starts_a, append=len(ends_a)))
+        rank = gallop(ends_a, ends_b, low)
+        return rank, (rank < len(ends_b)) & (ends_b[np.minimum(rank, len(ends_b) - 1)] == ends_a)
+    low = np.repeat(starts_a, np.diff(starts_b, append=len(ends_b)))
+    place = gallop(ends_b, ends_a, low)
+    same = (place < len(ends_a)) & (ends_a[np.minimum(place, len(ends_a) - 1)] == ends_b)
+    # a number of the second list lies below all that come after its place, or after its equal
+    below = np.bincount(place + same, minlength=len(ends_a) + 1)
+    common = np.zeros(len(ends_a), dtype=bool)
+    common[place[same]] = True
+    return np.cumsum(below)[:len(ends_a)], common
+
+
+@dataclass
+class Aligned:
+    """Alignment of several pieces, in order: what each has, and all their links and groups."""
+
+    good: np.ndarray  # whether both tokenizers spell the piece
+    counts: np.ndarray  # rows n_a, n_b, n_groups, n_links
+    links: np.ndarray  # first id << 32 | second id
+    sizes: np.ndarray  # bytes of each piece's groups as text, with an end sign after each group
+    groups: np.ndarray
 
 
 class TokenPair:
@@ -81,49 +95,75 @@ class TokenPair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         letters = byte_letters()
-        vocab = self.a.get_vocab()
-        self.bytes_a: dict[int, bytes] = {
-            i: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-            for token, i in vocab.items()
-        }
-        plain = {BYTE.format(x): bytes([x]) for x in range(256)}
-        self.bytes_b = [
-            plain.get(p, p.replace(BLANK, " ").encode()) for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))
-        ]
-        if any(BLANK in p.lstrip(BLANK) for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))):
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if any(BLANK in p.lstrip(BLANK) for p in names):
             raise ValueError("a piece goes on behind a blank, so texts can't be cut at blanks")
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of texts that start with a blank, which the second tokenizer adds itself."""
-        first = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        return list(zip(first, self.b.encode([t[1:] for t in texts], num_threads=1)))
-
-    def align(self, pieces: list[bytes]) -> list[tuple | None]:
-        """Of each piece n_a, n_b, n_groups, its groups as text and its links; None if bytes differ."""
-        out: list[tuple | None] = []
-        for piece, (a, b) in zip(pieces, self.encode([p.decode() for p in pieces])):
-            parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(parts_a) != piece or b"".join(parts_b) != piece:
-                out.append(None)
-                continue
-            ends_a, ends_b = running(parts_a), running(parts_b)
-            common = matched(ends_a, ends_b)
-            groups, x, y = [], 0, 0
-            for i, j in common:
-                groups.append(",".join(map(str, a[x:i + 1])) + "|" + ",".join(map(str, b[y:j + 1])))
-                x, y = i + 1, j + 1
-            links = [a[i] << 32 | b[j] for i, j in overlaps(ends_a, ends_b, common)]
-            out.append((len(a), len(b), len(common), ";".join(groups), links))
-        return out
-
-
-def running(parts: list[bytes]) -> list[int]:
-    """End of each part in their concatenation."""
-    out, at = [], 0
-    for p in parts:
-        at += len(p)
-        out.append(at)
-    return out
+        plain = {BYTE.format(x): bytes([x]) for x in range(256)}
+        self.bytes_b = [plain.get(p, p.replace(BLANK, " ").encode()) for p in names]
+        self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
+        for token, i in self.a.get_vocab().items():
+            spelt = all(c in letters for c in token)
+            self.bytes_a[i] = bytes(letters[c] for c in token) if spelt else token.encode()
+        self.size_a, self.size_b = (np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b))
+        # ids as text with the sign behind them: a comma inside a side, else a bar or the end of the group
+        signs = [f"{i}{sign}".encode() for n, end in ((len(self.bytes_a), "|"), (len(names), ";")) for sign in "," + end for i in range(n)]
+        self.text_sizes, self.text = np.array([len(x) for x in signs]), np.frombuffer(b"".join(signs), np.uint8)
+
+    def encode(self, pieces: list[bytes], together: int = TOGETHER) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of runs of pieces, and which pieces are spelt by both; the other pieces are left out.
+
+        Pieces that end without white space are encoded in one text with those behind them, which cuts
+        them apart again.
+        """
+        last = [k for k, p in enumerate(pieces, 1) if k % together == 0 or p.decode()[-1].isspace()]
+        bounds = sorted({0, *last, len(pieces)})
+        runs = [b"".join(pieces[x:y]) for x, y in zip(bounds, bounds[1:])]
+        texts = [r.decode() for r in runs]
+        found_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        found_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        out_a, out_b, good = [], [], np.ones(len(pieces), dtype=bool)
+        for x, y, run, a, b in zip(bounds, bounds[1:], runs, found_a, found_b):
+            if b"".join([self.bytes_a[i] for i in a]) == run == b"".join([self.bytes_b[i] for i in b]):
+                out_a.append(a)
+                out_b.append(b)
+            elif y - x == 1:
+                good[x] = False
+            else:
+                more_a, more_b, good[x:y] = self.encode(pieces[x:y], 1)
+                out_a += more_a
+                out_b += more_b
+        return out_a, out_b, good
+
+    def align(self, pieces: list[bytes]) -> Aligned:
+        """Alignment of pieces that start with a blank, which the second tokenizer adds itself."""
+        runs_a, runs_b, good = self.encode(pieces)
+        starts_a, starts_b = (np.cumsum([0, *map(len, runs)])[:-1] for runs in (runs_a, runs_b))
+        a, b = (np.array([i for run in runs for i in run], dtype=np.int64) for runs in (runs_a, runs_b))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        rank, common = matched(ends_a, ends_b, starts_a, starts_b)
+        # a first token meets the second ones from the rank of its start to that of its end
+        low = np.concatenate([[0], (rank + common)[:-1]])[:len(a)]
+        many = rank - low + 1
+        meets = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        links = np.repeat(a, many) << 32 | b[meets]
+        # places of the common ends slice both lists into groups, written one behind the other
+        last_a = np.flatnonzero(common)
+        last_b = rank[last_a]
+        group_a = np.cumsum(common) - common
+        group_b = np.searchsorted(last_b, np.arange(len(b)))
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        codes[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]] = a + len(self.bytes_a) * common
+        at_end = np.zeros(len(b), dtype=np.int64)
+        at_end[last_b] = 1
+        codes[np.arange(len(b)) + (last_a + 1)[group_b]] = 2 * len(self.bytes_a) + b + len(self.bytes_b) * at_end
+        # every piece ends at a common end
+        size = np.where(good, [len(p) for p in pieces], 0)
+        ends = np.cumsum(size)
+        to_a, to_b, to_group = (np.searchsorted(x, ends, "right") for x in (ends_a, ends_b, ends_a[last_a]))
+        written = np.concatenate([[0], np.cumsum(self.text_sizes[codes])])
+        sums = np.concatenate([[0], np.cumsum(many)])
+        per_piece = [np.diff(x, prepend=0) for x in (to_a, to_b, to_group, sums[to_a], written[to_a + to_b])]
+        return Aligned(good, np.array(per_piece[:4]), links, per_piece[4], gather(self.text, self.text_sizes, codes))
 
 
 def byte_letters() -> dict[str, int]:
@@ -134,12 +174,12 @@ def byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=1)
-def _aligner(first: str, second: str) -> Memo:
-    """Alignments by piece between blanks, for all tasks of a worker process."""
+def _aligner(first: str, second: str) -> TokenPair:
+    """The tokenizers, for all tasks of a worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Memo(TokenPair(first, second).align, PIECES)
+    return TokenPair(first, second)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -164,44 +204,37 @@ def _align_slices(files: tuple[str, str], schema: T.StructType):
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _aligner(*map(SparkFiles.get, files))
+        pair = _aligner(*map(SparkFiles.get, files))
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches, "text", SLICE)):
             texts, n = batch.column("text"), batch.num_rows
             found = chunks(texts, " ")
             pieces, pick = found.distinct()
-            aligned = memo.get(pieces)
+            aligned = pair.align(pieces)
             doc = np.repeat(np.arange(n), found.count)
-            good = np.array([bool(t) for t in texts.to_pylist()])
-            good[np.unique(doc[np.array([x is None for x in aligned])[pick]])] = False
+            good = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False).copy()
+            good[doc[~aligned.good[pick]]] = False
             keep = good[doc]
             doc, pick = doc[keep], pick[keep]
-            rows = [x or (0, 0, 0, "", []) for x in aligned]
-            # the number of groups is that of common ends, so it adds up over the pieces like the others
-            sums = [
-                np.bincount(doc, np.array(values, dtype=np.float64)[pick], n).astype(np.int64)
-                for values in ([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], [len(x[4]) for x in rows])
-            ]
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).tolist()
-            words = [rows[k][3] for k in pick.tolist()]
-            groups = [";".join(words[a:b]) for a, b in zip(bounds, bounds[1:])]
+            # the common ends of a text are those of its pieces, so counts add up and groups follow each other
+            sums = [np.bincount(doc, values[pick], n).astype(np.int64) for values in aligned.counts]
+            written = gather(aligned.groups, aligned.sizes, pick)
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, aligned.sizes[pick], n))]).astype(np.int32)
+            groups = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(bounds), pa.py_buffer(written.tobytes())])
             # distinct pieces of the documents that count, and how often each stands in which document
-            used, at = np.unique(pick, return_inverse=True)
-            seen, times = np.unique(doc * max(1, len(used)) + at, return_counts=True)
-            sizes = np.array([len(rows[k][4]) for k in used.tolist()], dtype=np.int64)
-            links = np.array([p for k in used.tolist() for p in rows[k][4]], dtype=np.int64)
-            pairs, piece_pairs = np.unique(links, return_inverse=True)
-            per_piece = np.bincount(at, minlength=len(used))
-            totals = np.bincount(piece_pairs, np.repeat(per_piece, sizes), len(pairs)).astype(np.int64)
+            seen, times = np.unique(doc * max(1, len(pieces)) + pick, return_counts=True)
+            pairs, piece_pairs = np.unique(aligned.links, return_inverse=True)
+            per_piece = np.bincount(pick, minlength=len(pieces))
+            totals = np.bincount(piece_pairs, np.repeat(per_piece, aligned.counts[3]), len(pairs)).astype(np.int64)
             packed = (
-                pairs, totals, np.cumsum(sizes), piece_pairs, np.cumsum(np.bincount(seen // max(1, len(used)), minlength=n)),
-                seen % max(1, len(used)), times,
+                pairs, totals, np.cumsum(aligned.counts[3]), piece_pairs,
+                np.cumsum(np.bincount(seen // max(1, len(pieces)), minlength=n)), seen % max(1, len(pieces)), times,
             )
             first = [pack(np.asarray(x, dtype=np.int64)) for x in packed]
             columns = {
                 "slice": pa.array([part << 33 | number] * n, pa.int64()), "row": pa.array(range(n), pa.int32()),
                 "doc_id": batch.column("doc_id"), **{c: pa.array(x) for c, x in zip(COUNTS, sums)},
-                "groups": pa.array(groups, pa.string()),
+                "groups": pc.utf8_rtrim(groups, ";"),
                 "sizes": pa.array([[len(x) for x in packed]] + [None] * (n - 1), pa.list_(pa.int64())),
                 **{c: pa.array([x] + [None] * (n - 1), pa.binary()) for c, x in zip(PACKED, first)},
             }

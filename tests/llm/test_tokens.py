@@ -156,9 +156,15 @@ def test_decoding_tree(library):
 def test_galloping():
     rng = random.Random(2)
     for _ in range(300):
-        a, b = (sorted(rng.sample(range(1, 400), rng.randrange(0, 120))) for _ in range(2))
-        both = sorted(set(a) & set(b))
-        assert alignment.matched(a, b) == [(a.index(x), b.index(x)) for x in both]
+        cuts, parts, starts = [0, *sorted(rng.sample(range(1, 900), 5)), 1000], ([], []), ([], [])
+        for lo, hi in zip(cuts, cuts[1:]):
+            for part, start in zip(parts, starts):
+                start.append(len(part))
+                part += sorted(rng.sample(range(lo + 1, hi + 1), rng.randrange(0, hi - lo)))
+        a, b = (np.array(x, dtype=np.int64) for x in parts)
+        rank, common = alignment.matched(a, b, *map(np.array, starts))
+        assert rank.tolist() == [sum(y < x for y in parts[1]) for x in parts[0]]
+        assert common.tolist() == [x in set(parts[1]) for x in parts[0]]
 
 
 def test_memo_drops_what_is_not_asked_for():
