@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from renewlens import schema as s
 from renewlens.checks.registry import Tables, query
 from renewlens.operators import cohort as c
 from renewlens.operators import explain as x
@@ -63,15 +64,27 @@ def save_and_load_model(t: Tables) -> DataFrame:
 @query("M05")
 def cross_validate(t: Tables) -> DataFrame:
     df = stage(t.features)
-    return m.cross_validate(df, c.model_feature_names(df), QUICK, k=3, key=KEY)
+    return m.cross_validate(df, c.model_feature_names(df), QUICK, k=5, key=KEY)
 
 
 @query("M06")
 def sweep(t: Tables) -> DataFrame:
+    """All three published stages with their values and three folds; every run has 1 tree for 100."""
     df = stage(t.features)
-    grid = [("pos_weight", [5.0, 9.5]), ("max_depth", [2, 3])]
-    quick = {**QUICK, "n_estimators": 2}
-    return m.sweep(df, c.model_feature_names(df), quick, grid, k=2, key=KEY)[1]
+    rates = [{**r, "n_estimators": r["n_estimators"] // 100} for r in s.SWEEP_RATES]
+    grid = [("pos_weight", s.SWEEP_WEIGHTS), ("max_depth", s.SWEEP_DEPTHS), ("rate", rates)]
+    return m.sweep(df, c.model_feature_names(df), {"n_estimators": 4}, grid, k=3, key=KEY)[1]
+
+
+@query("M05 M06")
+def boosting_lengths(t: Tables) -> DataFrame:
+    """Metrics after every step of one run for each fold."""
+    df = stage(t.features)
+    names, steps = c.model_feature_names(df), list(range(1, 9))
+    folded = m.with_folds(df, 5, key=KEY)
+    trials = [{**QUICK, "n_estimators": n} for n in steps]
+    found = m.summarise_folds(m.cross_validate_trials(folded, names, trials, 5).groupBy("trial"))
+    return found.withColumn("n_estimators", F.element_at(F.array(*map(F.lit, steps)), F.col("trial") + 1)).drop("trial")
 
 
 @query("M07")

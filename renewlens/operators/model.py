@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+from typing import TypeVar
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from renewlens import schema as s
@@ -21,6 +25,9 @@ from renewlens.session import ensure_checkpointing, stage
 WEIGHT = "_weight"
 FEATURES = "_features"
 SCORE = "churn_probability"
+#: Fits that run at the same time.
+AT_ONCE = 8
+T = TypeVar("T")
 
 
 def class_weight(df: DataFrame, pos_weight: float, label: str = "churn_label") -> DataFrame:
@@ -123,21 +130,56 @@ def feature_importance(
 # --- validation ----------------------------------------------------------------
 
 
-def fold_metrics(scored: DataFrame, label: str = "churn_label", fold: str = "fold") -> DataFrame:
-    """Average precision, ROC area and best F1 of every fold, in one job."""
-    points = _with_pr(thresholds(scored, SCORE, label, [fold]))
+def run_together(spark: SparkSession, jobs: Sequence[Callable[[], T]], at_once: int = AT_ONCE) -> list[T]:
+    """Results of functions that start Spark jobs, ``at_once`` of them at a time, in their order.
+
+    A fit is a chain of short jobs that leave most of a cluster idle, so several fits fill the gaps. The
+    threads inherit the caller's job group and pool. The first error is raised when the rest has ended.
+    """
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [f.result() for f in started]
+
+
+def first_trees(model: PipelineModel, n: int) -> PipelineModel:
+    """The model after its first ``n`` boosting steps.
+
+    Every step is seeded by its number and sees the steps before only, so this is the model that a
+    fit of ``n`` steps gives.
+    """
+    whole = booster(model)
+    if not 1 <= n <= len(whole.treeWeights):
+        raise ValueError(f"the model has {len(whole.treeWeights)} trees, not {n}")
+    context = SparkContext._active_spark_context
+    kind = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    java_trees = whole._java_obj.trees()
+    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(context._jvm.double, n)
+    for i in range(n):
+        trees[i] = java_trees[i]
+        weights[i] = whole.treeWeights[i]
+    part = GBTClassificationModel(kind(f"{whole.uid}_{n}", trees, weights))
+    return PipelineModel([model.stages[0], part.setFeaturesCol(FEATURES)])
+
+
+def fold_metrics(
+    scored: DataFrame, label: str = "churn_label", fold: str | Sequence[str] = "fold"
+) -> DataFrame:
+    """Average precision, ROC area and best F1 of every fold (or combination of columns), in one job."""
+    folds = [fold] if isinstance(fold, str) else list(fold)
+    points = _with_pr(thresholds(scored, SCORE, label, folds))
     best = F.min(F.struct((-F.col("f1")).alias("neg_f1"), "threshold", "tp", "fp")).alias("b")
-    per_fold = points.groupBy(fold).agg(
+    per_fold = points.groupBy(*folds).agg(
         *[c.alias(k) for k, c in _rank_metrics().items()],
         best,
         F.max("positives").alias("positives"),
     )
     f1 = 2 * F.col("b.tp") / (F.col("b.tp") + F.col("b.fp") + F.col("positives"))
-    return per_fold.select(fold, "average_precision", "roc_auc", f1.alias("f1"))
+    return per_fold.select(*folds, "average_precision", "roc_auc", f1.alias("f1"))
 
 
-def summarise_folds(per_fold: DataFrame) -> DataFrame:
-    """Mean and population deviation over the folds."""
+def summarise_folds(per_fold: DataFrame | GroupedData) -> DataFrame:
+    """Mean and population deviation over the folds, of all rows or of each group."""
     return per_fold.agg(
         F.avg("average_precision").alias("pr_auc_mean"),
         F.stddev_pop("average_precision").alias("pr_auc_std"),
@@ -156,6 +198,46 @@ def with_folds(
     return stage(stratified_folds(stage(labelled), label, k, key))
 
 
+def cross_validate_trials(
+    folded: DataFrame,
+    columns: Sequence[str],
+    trials: Sequence[Mapping],
+    k: int = 5,
+    label: str = "churn_label",
+    at_once: int = AT_ONCE,
+) -> DataFrame:
+    """(trial, fold, metrics) of several settings on a table from :func:`with_folds`.
+
+    All fits of all folds run together from the one staged table. Settings that differ in the number
+    of trees alone share a fit of the longest run, which is scored at its prefixes. One evaluation
+    job does all trials.
+    """
+    spark = folded.sparkSession
+    settings = [{**s.DEFAULT_PARAMS, **t} for t in trials]
+    shared: dict[str, list[int]] = {}
+    for i, t in enumerate(settings):
+        shared.setdefault(json.dumps({**t, "n_estimators": 0}, sort_keys=True), []).append(i)
+
+    def fit(members: list[int], fold: int) -> list[DataFrame]:
+        longest = max((settings[i] for i in members), key=lambda t: t["n_estimators"])
+        model = train_gbt(folded.where(F.col("fold") != fold), columns, longest, label)
+        held_out = folded.where(F.col("fold") == fold)
+        return [
+            score(held_out, first_trees(model, int(settings[i]["n_estimators"]))).select(
+                F.lit(i).alias("trial"), "fold", label, SCORE
+            )
+            for i in members
+        ]
+
+    jobs = [partial(fit, members, fold) for members in shared.values() for fold in range(k)]
+    parts = [part for found in run_together(spark, jobs, at_once) for part in found]
+    # scored by group of parts, so that no plan has more than one part for each fit at once
+    staged = run_together(
+        spark, [partial(stage, reduce(DataFrame.unionByName, parts[i:i + k])) for i in range(0, len(parts), k)], at_once
+    )
+    return fold_metrics(reduce(DataFrame.unionByName, staged), label, ["trial", "fold"])
+
+
 def cross_validate_folds(
     folded: DataFrame,
     columns: Sequence[str],
@@ -163,14 +245,8 @@ def cross_validate_folds(
     k: int = 5,
     label: str = "churn_label",
 ) -> DataFrame:
-    """Per-fold metrics on a table from :func:`with_folds`: k fits, then one evaluation job."""
-    scored = None
-    for i in range(k):
-        model = train_gbt(folded.where(F.col("fold") != i), columns, params, label)
-        held_out = folded.where(F.col("fold") == i)
-        part = score(held_out, model).select("fold", label, SCORE)
-        scored = part if scored is None else scored.unionByName(part)
-    return fold_metrics(stage(scored), label)
+    """Per-fold metrics on a table from :func:`with_folds`: k fits at the same time, one evaluation job."""
+    return cross_validate_trials(folded, columns, [params or {}], k, label).drop("trial")
 
 
 def cross_validate(
@@ -197,7 +273,7 @@ def sweep(
 ) -> tuple[dict, DataFrame]:
     """Greedy search, one parameter group after the other, by mean average precision.
 
-    A grid entry is (name, values); values that are mappings set several parameters together.
+    The trials of a group run together (:func:`cross_validate_trials`). A grid entry is (name, values); values that are mappings set several parameters together.
     Returns the best parameters and the table of all trials.
     """
     grid = grid or [
@@ -209,15 +285,13 @@ def sweep(
     folded = with_folds(df, k, label, key)
     trials = []
     for name, values in grid:
-        results = []
-        for value in values:
-            change = dict(value) if isinstance(value, Mapping) else {name: value}
-            per_fold = cross_validate_folds(folded, columns, {**best, **change}, k, label)
-            row = summarise_folds(per_fold).first().asDict()
-            trials.append((name, json.dumps(change), *[float(x) for x in row.values()]))
-            results.append((row["pr_auc_mean"], change))
+        changes = [dict(v) if isinstance(v, Mapping) else {name: v} for v in values]
+        per_fold = cross_validate_trials(folded, columns, [{**best, **c} for c in changes], k, label)
+        rows = {r["trial"]: r for r in summarise_folds(per_fold.groupBy("trial")).collect()}
+        for i, change in enumerate(changes):
+            trials.append((name, json.dumps(change), *[float(x) for x in rows[i][1:]]))
         # max keeps the first of equals
-        best.update(max(results, key=lambda r: r[0])[1])
+        best.update(changes[max(range(len(changes)), key=lambda i: rows[i]["pr_auc_mean"])])
     table = df.sparkSession.createDataFrame(
         trials,
         "stage string, params string, pr_auc_mean double, pr_auc_std double, roc_auc_mean double, "
@@ -243,13 +317,16 @@ def select_features(
     key: str | Sequence[str] = "Co_Ref",
 ) -> tuple[list[str], DataFrame]:
     """Drop weak features when the reduced set scores within ``tolerance`` of the full one."""
-    model = train_gbt(df, columns, params, label)
+    folded = with_folds(df, k, label, key)
+    # the model of all rows is fitted next to those of the folds
+    model, full = run_together(df.sparkSession, [
+        lambda: train_gbt(folded, columns, params, label),
+        lambda: summarise_folds(cross_validate_folds(folded, columns, params, k, label)).first(),
+    ])
     kept = [
         r["feature"]
         for r in important_features(feature_importance(df.sparkSession, model), ratio).collect()
     ]
-    folded = with_folds(df, k, label, key)
-    full = summarise_folds(cross_validate_folds(folded, columns, params, k, label)).first()
     reduced = summarise_folds(cross_validate_folds(folded, kept, params, k, label)).first()
     use = reduced["pr_auc_mean"] >= full["pr_auc_mean"] - tolerance
     report = df.sparkSession.createDataFrame(

@@ -147,6 +147,36 @@ def test_cross_validation_and_sweep(frame):
     assert f'"max_depth": {best["max_depth"]}' in top["params"]
 
 
+def test_prefix_of_a_long_run_is_the_short_run(frame):
+    long = m.train_gbt(frame, NAMES, {**QUICK, "subsample": 0.7})
+    for n in (1, 4):
+        short = m.train_gbt(frame, NAMES, {**QUICK, "subsample": 0.7, "n_estimators": n})
+        both = m.score(m.score(frame, m.first_trees(long, n), "prefix"), short, "own")
+        assert both.agg(F.max(F.abs(F.col("prefix") - F.col("own")))).first()[0] < 1e-12
+    with pytest.raises(ValueError):
+        m.first_trees(long, 7)
+
+
+def test_trials_equal_a_plain_loop_of_fits(frame):
+    """Fits at the same time, shared prefixes and one evaluation job against one fit after the other."""
+    trials = [{**QUICK, "n_estimators": 3}, {**QUICK, "n_estimators": 1}, {**QUICK, "max_depth": 2, "n_estimators": 2}]
+    folded = m.with_folds(frame, 3)
+    got = {(r["trial"], r["fold"]): r for r in m.cross_validate_trials(folded, NAMES, trials, 3).collect()}
+    assert len(got) == 9
+    for i, params in enumerate(trials):
+        for fold in range(3):
+            model = m.train_gbt(folded.where(F.col("fold") != fold), NAMES, params)
+            want = m.fold_metrics(m.score(folded.where(F.col("fold") == fold), model)).first()
+            for name in ("average_precision", "roc_auc", "f1"):
+                assert got[i, fold][name] == pytest.approx(want[name], abs=1e-9)
+
+
+def test_jobs_run_together_and_raise(spark):
+    assert m.run_together(spark, [lambda i=i: spark.range(i).count() for i in range(5)], 3) == [0, 1, 2, 3, 4]
+    with pytest.raises(ZeroDivisionError):
+        m.run_together(spark, [lambda: 1, lambda: 1 / 0])
+
+
 def test_predictions_table(frame, model):
     out = predictions(frame.drop("churn_label", "noise").withColumn("Band", F.lit("Band A")), model, 0.5)
     assert out.columns == [
