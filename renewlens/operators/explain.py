@@ -1,33 +1,42 @@
 """Additive per-feature contributions of a boosted tree model, and the reports built on them.
 
 The contributions are Shapley values under the trees' own cover (path-dependent form, Lundberg et al.,
-"Consistent individualized feature attribution for tree ensembles"). For one leaf, a row only matters
-through which of the features on the leaf's path it satisfies. A path has at most ``depth`` distinct
-features, so each leaf gets a table over these 2^m patterns once, and scoring a row is a lookup. Longer
-paths are worked out per batch instead.
-Spark distributes the rows; the model is small by construction (trees x leaves) and checked.
+"Consistent individualized feature attribution for tree ensembles"). For one leaf only the features on
+its path matter. With z the share of cover that follows the path at a feature, and o 1 where the row
+follows it itself, feature j of m gets value * (o_j - z_j) times the integral over t from 0 to 1 of the
+product of z_i (1 - t) + o_i t over the other features i. That product is a polynomial in t of degree
+m - 1, so m / 2 points of Gauss and Legendre give it exactly, and running products from both sides give
+all features of a path at once: the work grows with leaves times path length, at any depth.
+
+The node table becomes a table of leaves, tree by tree, in Spark. Blocks of leaves of a bounded size go
+to the tasks, one after the other, and add to partial sums that are staged between them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from math import factorial
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from renewlens.functions.scalars import quoted
 from renewlens.operators.model import booster, feature_names
-from renewlens.session import shared_dir
+from renewlens.session import shared_dir, stage
 
-MAX_NODES = 2_000_000
 MAX_TABLE_FEATURES = 8
+#: Path entries of one block of leaves (about 40 bytes each), and numbers worked on at once in a task.
+BLOCK_ENTRIES, WORK = 500_000, 1 << 20
 CONTRIBUTIONS = "contributions"
 BASE = "base_value"
+#: The booster's probability is 1 / (1 + e^(-2 margin)), so twice the margin is the log-odds.
+MARGIN_TO_ODDS = 2.0
 
 
 def tree_table(spark: SparkSession, model: PipelineModel, path: str | None = None) -> DataFrame:
@@ -50,7 +59,10 @@ def tree_table(spark: SparkSession, model: PipelineModel, path: str | None = Non
 
 
 def path_contributions(one: np.ndarray, zero: Sequence[float], value: float) -> np.ndarray:
-    """Contribution of one leaf to each path feature, for every row of ``one``.
+    """Contribution of one leaf to each path feature, for every row of ``one``, by sums over orderings.
+
+    This and the two functions below work out a small model in one process in another way; the tests
+    hold them against the distributed one.
 
     ``zero[j]`` is the share of cover that follows the path at feature j; ``one[r, j]`` is 1 when row r
     itself follows it. The average over orderings groups the other features by how many of them are
@@ -130,39 +142,136 @@ def contributions_of(x: np.ndarray, leaves) -> np.ndarray:
     return out
 
 
+LEAF_SCHEMA = (
+    "tree int, leaf int, features array<int>, low array<double>, high array<double>, "
+    "zero array<double>, prediction double"
+)
+
+
+def leaf_paths(nodes: DataFrame) -> DataFrame:
+    """Leaves of the node table with their paths: features, intervals (low, high], cover shares, prediction.
+
+    A feature that comes again on a path has one entry: the common interval and the product of shares.
+    Each tree is one group; a leaf at the root has an empty path.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {int(r.node): r for r in pdf.itertuples()}
+        out, stack = [], [(0, {})]
+        while stack:
+            node, path = stack.pop()
+            row = rows[node]
+            if row.left < 0:
+                low, high, zero = (list(x) for x in zip(*path.values())) if path else ([], [], [])
+                out.append((int(row.tree), node, list(path), low, high, zero, float(row.prediction)))
+                continue
+            for child, is_left in ((int(row.left), True), (int(row.right), False)):
+                low, high, z = path.get(int(row.feature), (-np.inf, np.inf, 1.0))
+                share = rows[child].cover / row.cover if row.cover else 0.0
+                bounds = (low, min(high, row.threshold)) if is_left else (max(low, row.threshold), high)
+                stack.append((child, {**path, int(row.feature): (*bounds, z * share)}))
+        return pd.DataFrame(out, columns=["tree", "leaf", "features", "low", "high", "zero", "prediction"])
+
+    return nodes.groupBy("tree").applyInPandas(run, LEAF_SCHEMA)
+
+
+class Leaves:
+    """A block of leaves as arrays, by number of features on the path."""
+
+    def __init__(self, rows: Sequence, weights: Sequence[float], scale: float):
+        self.base = 0.0
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        found: dict[int, list] = {}
+        for r in rows:
+            value = scale * weights[r["tree"]] * r["prediction"]
+            self.base += value * float(np.prod(r["zero"]))
+            found.setdefault(len(r["features"]), []).append((r["features"], r["low"], r["high"], r["zero"], value))
+        for m, leaves in found.items():
+            if m:
+                self.by_length[m] = tuple(np.array(x) for x in zip(*leaves))
+
+    def add_to(self, out: np.ndarray, x: np.ndarray) -> None:
+        """Add the contributions of these leaves for the rows ``x`` to ``out`` (features x rows)."""
+        for m, (features, low, high, zero, value) in self.by_length.items():
+            points, weights = np.polynomial.legendre.leggauss(-(-m // 2))
+            points, weights = (points + 1) / 2, weights / 2
+            leaves = max(1, WORK // (m * len(points) * max(1, len(x))))
+            for at in range(0, len(features), leaves):
+                part = slice(at, at + leaves)
+                cols = x[:, features[part]]  # rows, leaves, m
+                one = ((cols > low[part]) & (cols <= high[part])).astype(float)
+                factor = zero[part][..., None] * (1 - points) + one[..., None] * points
+                before, after = np.ones_like(factor), np.ones_like(factor)
+                np.cumprod(factor[:, :, :-1], axis=2, out=before[:, :, 1:])
+                after[:, :, :-1] = np.cumprod(factor[:, :, :0:-1], axis=2)[:, :, ::-1]
+                each = ((before * after) @ weights) * (one - zero[part]) * value[part][:, None]
+                np.add.at(out, features[part].ravel(), each.reshape(len(x), -1).T)
+
+
+def leaf_blocks(leaves: DataFrame, entries: int = BLOCK_ENTRIES) -> Iterator[list]:
+    """Leaves in order of their trees, in blocks of at most ``entries`` path entries (one tree at least).
+
+    Only the sizes of the trees and one block at a time come to the driver.
+    """
+    sizes = leaves.groupBy("tree").agg(F.sum(F.size("features") + 1).alias("n")).orderBy("tree").collect()
+    first, room = 0, entries
+    for k, r in enumerate(sizes):
+        if k > first and room < r["n"]:
+            yield leaves.where(F.col("tree").between(sizes[first]["tree"], sizes[k - 1]["tree"])).collect()
+            first, room = k, entries
+        room -= r["n"]
+    if sizes:
+        yield leaves.where(F.col("tree") >= sizes[first]["tree"]).collect()
+
+
 def explain(
     df: DataFrame,
     model: PipelineModel,
     keep: Sequence[str] = ("Co_Ref",),
     booster_path: str | None = None,
+    block_entries: int = BLOCK_ENTRIES,
 ) -> DataFrame:
     """``keep`` columns, the contribution array (in feature order) and the base value, per row.
 
-    Contributions plus base equal the log-odds of the predicted probability.
+    Contributions plus base equal the log-odds of the predicted probability. A model of any size is
+    worked through in blocks; with more than one, the partial sums are staged between them.
     """
     spark = df.sparkSession
     names = feature_names(model)
-    nodes = tree_table(spark, model, booster_path)
-    n = nodes.count()
-    if n > MAX_NODES:
-        raise ValueError(f"{n} tree nodes are too many to send to the tasks")
-    leaves, base = leaf_tables(nodes.toPandas(), list(booster(model).treeWeights))
-    shared = spark.sparkContext.broadcast(leaves)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[[f"f{i}" for i in range(len(names))]].to_numpy(dtype=float)
-            out = pdf[list(keep)].copy()
-            out[CONTRIBUTIONS] = list(contributions_of(x, shared.value))
-            yield out
-
+    weights = list(booster(model).treeWeights)
+    leaves = stage(leaf_paths(tree_table(spark, model, booster_path)))
+    kept = [f"_k{i}" for i in range(len(keep))]
     inputs = df.select(
-        *keep,
-        *[F.col(quoted(c)).cast("double").alias(f"f{i}") for i, c in enumerate(names)],
+        *[F.col(quoted(c)).alias(k) for c, k in zip(keep, kept)],
+        F.array(*[F.col(quoted(c)).cast("double") for c in names]).alias("_x"),
+        F.lit(None).cast("array<double>").alias("_sum"),
     )
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"{c} {types[c]}" for c in keep], f"{CONTRIBUTIONS} array<double>"])
-    return inputs.mapInPandas(run, schema).withColumn(BASE, F.lit(float(base)))
+    base = 0.0
+    for number, rows in enumerate(leaf_blocks(leaves, block_entries)):
+        block = Leaves(rows, weights, MARGIN_TO_ODDS)
+        base += block.base
+        shared = spark.sparkContext.broadcast(block)
+        inputs = _add_block(inputs if number == 0 else stage(inputs), shared, len(names))
+    return inputs.select(
+        *[F.col(k).alias(c) for c, k in zip(keep, kept)], F.col("_sum").alias(CONTRIBUTIONS), F.lit(float(base)).alias(BASE)
+    )
+
+
+def _add_block(inputs: DataFrame, shared: Broadcast, n_features: int) -> DataFrame:
+    """Rows with the contributions of one more block of leaves in ``_sum``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("_x").flatten().to_numpy(zero_copy_only=False)
+            x = flat.astype(float).reshape(batch.num_rows, n_features)
+            before = batch.column("_sum").flatten().to_numpy(zero_copy_only=False)
+            out = before.astype(float).reshape(-1, n_features).T.copy() if len(before) else np.zeros((n_features, len(x)))
+            shared.value.add_to(out, x)
+            ends = np.arange(len(x) + 1, dtype=np.int32) * n_features
+            sums = pa.ListArray.from_arrays(ends, np.ascontiguousarray(out.T).ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sums], names=batch.schema.names)
+
+    return inputs.mapInArrow(run, inputs.schema)
 
 
 def top_reasons(explained: DataFrame, names: Sequence[str], n: int = 3) -> DataFrame:

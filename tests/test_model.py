@@ -102,6 +102,48 @@ def test_long_paths_without_a_table_agree(spark, model, scored, monkeypatch):
     assert np.allclose(x.contributions_of(values, tabled), x.contributions_of(values, direct))
 
 
+def test_blocks_of_leaves_add_up(spark, frame, model):
+    """Many blocks with staged partial sums, one block, and the tables over patterns agree."""
+    nodes = x.tree_table(spark, model).toPandas()
+    tables, base = x.leaf_tables(nodes, list(m.booster(model).treeWeights))
+    rows = frame.select("Co_Ref", *[f"`{c}`" for c in NAMES]).toPandas().set_index("Co_Ref")
+    want = dict(zip(rows.index, x.contributions_of(rows[NAMES].to_numpy(dtype=float), tables)))
+    for entries in (1, 60, x.BLOCK_ENTRIES):
+        got = x.explain(frame, model, block_entries=entries).collect()
+        assert len(got) == len(want) and got[0][x.BASE] == pytest.approx(base)
+        assert all(np.allclose(r[x.CONTRIBUTIONS], want[r["Co_Ref"]], atol=1e-12) for r in got)
+    assert x.explain(frame.limit(0), model).count() == 0
+
+
+def test_long_paths_by_orderings():
+    """Paths of up to 16 features, shares of zero among them, against the sums over orderings."""
+    rng = np.random.default_rng(5)
+    for length in (1, 2, 3, 8, 16):
+        zero = rng.random(length).round(2)
+        zero[0] = 0.0
+        leaf = {"tree": 0, "features": list(range(length)), "low": [0.5] * length, "high": [np.inf] * length,
+                "zero": list(zero), "prediction": 1.5}
+        values = rng.integers(0, 2, (40, length)).astype(float)
+        out = np.zeros((length, 40))
+        x.Leaves([leaf], [0.5], 2.0).add_to(out, values)
+        assert np.allclose(out.T, x.path_contributions(values, zero, 1.5), atol=1e-12)
+
+
+def test_a_tree_that_is_one_leaf_and_a_feature_that_comes_again(spark):
+    rows = [(0, 0, -1, -1, -1, None, 3.0, 10.0)]
+    rows += [(1, 0, 1, 4, 2, 5.0, 0.0, 10.0), (1, 1, 2, 3, 2, 1.0, 0.0, 8.0), (1, 2, -1, -1, -1, None, 1.0, 2.0),
+             (1, 3, -1, -1, -1, None, 2.0, 6.0), (1, 4, -1, -1, -1, None, 4.0, 2.0)]
+    nodes = spark.createDataFrame(
+        rows, "tree int, node int, left int, right int, feature int, threshold double, prediction double, cover double"
+    )
+    got = {(r["tree"], r["leaf"]): r for r in x.leaf_paths(nodes).collect()}
+    assert got[0, 0]["features"] == [] and got[0, 0]["prediction"] == 3.0
+    middle = got[1, 3]
+    assert (middle["features"], middle["low"], middle["high"]) == ([2], [1.0], [5.0])
+    assert middle["zero"] == pytest.approx([0.6])
+    assert [len(b) for b in x.leaf_blocks(x.leaf_paths(nodes), 2)] == [1, 3]
+
+
 def test_top_reasons(spark):
     df = spark.createDataFrame([([0.1, -0.5, 0.5, 0.0],)], f"{x.CONTRIBUTIONS} array<double>")
     text = x.top_reasons(df, ["w", "z", "y", "v"], 3).first()["top_reasons"]
