@@ -53,6 +53,23 @@ def read_billings_csv(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "S01 S02 S03 S04 S05",
+    "select cast(doc_id as varchar) as doc_id, source, length(text) as n_chars, md5(text) as digest from documents",
+)
+def read_multi_line_csv(t: Tables) -> DataFrame:
+    """Texts with line breaks and quotes, written as CSV and read back by many tasks."""
+    path = _folder(t)
+    (
+        t.source("documents").select("doc_id", "source", "text").write.option("header", True)
+        .options(quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    )
+    back = src.read_text_csv(t.spark, path, multi_line=True)
+    return back.select(
+        "doc_id", "source", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest")
+    )
+
+
 @query(
     "S02 S03 S04 S05 C20",
     """select 'cc_calls' as name, count(*) as n, count(Co_Ref) as keys, count(start_score) as numbers,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from renewlens import schema as s
 from renewlens.functions import scalars as fn
 from renewlens.operators.cleaning import conform
+from renewlens.sources.quoted_csv import read_quoted_csv
 
 
 def normalise_nulls(df: DataFrame, tokens: Sequence[str] = s.NULL_TOKENS) -> DataFrame:
@@ -23,12 +24,14 @@ def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> D
     """Header CSV with every column as text: no type inference pass over the data.
 
     Large files are split between tasks. Files whose quoted fields contain line breaks need
-    ``multi_line``, which makes one file one split; :func:`broken_quotes` finds such files.
+    ``multi_line``: a further pass over the quotes finds where records start, and the files are split
+    all the same. :func:`broken_quotes` finds such files.
     """
+    if multi_line:
+        return read_quoted_csv(spark, path)
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
-        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
