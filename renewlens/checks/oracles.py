@@ -280,6 +280,15 @@ DERIVED = {
       + cc_multiple_calls as high_friction_score,
     auto_renewal_off * anchoring_zero as critical_risk_billing
   from joined""",
+    "tested": """
+  select f.*, p.price_increase_10pct, p.payment_unknown, coalesce(m.email_pct_negative, 0) as email_pct_negative
+  from features f
+  join (select Co_Ref, Renewal_Year, case when upper(Payment_Method) = 'UNKNOWN' then 1 else 0 end as payment_unknown,
+      case when Last_Total_Net_Paid <> 0 and (Total_Net_Paid - Last_Total_Net_Paid) / Last_Total_Net_Paid > 0.1
+        then 1 else 0 end as price_increase_10pct
+    from cohort0) p on p.Co_Ref = f.Co_Ref and p.Renewal_Year = f.Renewal_Year
+  left join (select Co_Ref, avg(case when crm_contractor_sentiment_clean = 'Negative' then 1 else 0 end) as email_pct_negative
+    from em where Time_to_Renewal = 'prior_year' and Co_Ref is not null group by 1) m on m.Co_Ref = f.Co_Ref""",
     "decided": """
   select *, case when Prospect_Outcome = 'Churned' then 1 else 0 end as label,
     (Renewal_Score_At_Release + 1000) / 11000 as p,
@@ -306,6 +315,7 @@ NEEDS = {
     "bills": ["billings"], "cc": ["cc_calls"], "rc": ["renewal_calls"], "em": ["emails"],
     "cohort0": ["bills"], "bandmap": [], "cohort": ["cohort0", "bandmap"], "ccf": ["cc"],
     "rcf": ["rc"], "joined": ["cohort", "ccf", "rcf"], "features": ["joined"],
+    "tested": ["features", "cohort0", "em"],
     "decided": ["bills"], "scored": ["decided"], "ladder": ["scored"], "curve": ["ladder"],
 }
 

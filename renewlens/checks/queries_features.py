@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from renewlens.operators import behaviour as b
 from renewlens.operators import cohort as c
 from renewlens.operators import keysets as ks
 from renewlens.plans.features import build_profiling_features
+from renewlens.session import shared_dir
+from renewlens.sources import tables as src
 
 BILLING_FLAGS = [
     "is_first_year", "auto_renewal_off", "anchoring_zero", "anchoring_1plus", "anchoring_3plus",
@@ -151,6 +155,29 @@ def left_enrich(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "J01 S07 S08",
+    """select c.Co_Ref, c.Renewal_Year, cc_call_count, rc_call_count, cc_ever_complained from cohort0 c
+       left join ccf on ccf.Co_Ref = c.Co_Ref and ccf.Renewal_Year = c.Renewal_Year
+       left join rcf on rcf.Co_Ref = c.Co_Ref and rcf.Renewal_Year = c.Renewal_Year""",
+    ["cohort0", "ccf", "rcf"],
+    ["cc_call_count", "rc_call_count", "cc_ever_complained"],
+)
+def enrich_stored_tables(t: Tables) -> DataFrame:
+    """Cohort and both call tables, stored by key; the joins of the stored tables need no shuffle."""
+    run = uuid.uuid4().hex
+    parts = {
+        "cohort": c.cohort_rows(t.bills).select(*c.KEY),
+        "cc": b.build_cc_features(t.cc).select(*c.KEY, "cc_call_count", "cc_ever_complained"),
+        "rc": b.build_rc_features(t.rc).select(*c.KEY, "rc_call_count"),
+    }
+    stored = {
+        n: src.write_keyed(df, f"{n}_{run}", f"{shared_dir(t.spark)}/keyed-{run}/{n}", 8) for n, df in parts.items()
+    }
+    joined = c.left_enrich(c.left_enrich(stored["cohort"], stored["cc"], c.KEY), stored["rc"], c.KEY)
+    return joined.withColumns({n: F.col(n).cast("double") for n in joined.columns[2:]})
+
+
 @query(
     "J02",
     """select Call_Year, count(*) as n from rc

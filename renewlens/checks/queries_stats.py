@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from renewlens import schema as sc
 from renewlens.checks.oracles import chi2_tail
 from renewlens.checks.registry import Tables, query
 from renewlens.operators import evaluation as e
 from renewlens.operators import stattests as st
 from renewlens.operators.ladder import class_ladder, quantiles
-from renewlens.plans.hypotheses import hypothesis_summary
+from renewlens.plans.hypotheses import hypothesis_features, hypothesis_summary
 
 CHI_FEATURES = ["auto_renewal_off", "anchoring_zero", "any_leave_signal", "band_enc"]
 RANK_FEATURES = ["Tenure_Years", "total_negative_flags", "Connection_Qty"]
@@ -272,21 +273,21 @@ def evaluate(t: Tables) -> DataFrame:
 # --- tests ------------------------------------------------------------------------
 
 
-def _chi_sql(feature: str) -> str:
+def _chi_sql(feature: str, table: str = "features") -> str:
     return f"""
-      select '{feature}' as feature, (select count(*) from features) as n_rows, chi2,
+      select '{feature}' as feature, (select count(*) from {table}) as n_rows, chi2,
         ((r - 1) * (c - 1))::integer as dof, {chi2_tail('chi2', '((r - 1) * (c - 1))')} as p_value,
-        sqrt(chi2 / ((select count(*) from features) * (least(r, c) - 1))) as cramers_v from (
+        sqrt(chi2 / ((select count(*) from {table}) * (least(r, c) - 1))) as cramers_v from (
         select sum(case when (r - 1) * (c - 1) = 1
               then greatest(abs(o - ex) - 0.5, 0) ^ 2 / ex else (o - ex) ^ 2 / ex end) as chi2,
           max(r) as r, max(c) as c from (
           select o, rt::double * ct / n as ex, r, c from (
-            select g.v, l.y, coalesce(k.o, 0) as o, g.rt, l.ct, (select count(*) from features) as n,
-              (select count(distinct {feature}) from features) as r,
-              (select count(distinct churn_label) from features) as c
-            from (select {feature} as v, count(*) as rt from features group by 1) g
-              cross join (select churn_label as y, count(*) as ct from features group by 1) l
-              left join (select {feature} as v, churn_label as y, count(*) as o from features
+            select g.v, l.y, coalesce(k.o, 0) as o, g.rt, l.ct, (select count(*) from {table}) as n,
+              (select count(distinct {feature}) from {table}) as r,
+              (select count(distinct churn_label) from {table}) as c
+            from (select {feature} as v, count(*) as rt from {table} group by 1) g
+              cross join (select churn_label as y, count(*) as ct from {table} group by 1) l
+              left join (select {feature} as v, churn_label as y, count(*) as o from {table}
                 group by 1, 2) k on k.v = g.v and k.y = l.y)))"""
 
 
@@ -298,7 +299,7 @@ def chi_square_tests(t: Tables) -> DataFrame:
     return st.chi_square_tests(t.features, CHI_FEATURES)
 
 
-def _mw_sql(feature: str) -> str:
+def _mw_sql(feature: str, table: str = "features") -> str:
     return f"""
       select '{feature}' as feature, n0 as n_0, n1 as n_1, u as u_statistic,
         (greatest(u, n0 * n1 - u) - n0 * n1 / 2.0 - 0.5)
@@ -316,7 +317,7 @@ def _mw_sql(feature: str) -> str:
           from (select {feature} as v, churn_label as y,
               row_number() over (partition by {feature}) as k,
               (count(*) over (partition by {feature}))::double as cnt
-            from features where {feature} is not null)))"""
+            from {table} where {feature} is not null)))"""
 
 
 _MW = f"""select *, p_value < 0.05 as significant from (
@@ -363,37 +364,31 @@ def drift_report(t: Tables) -> DataFrame:
     )
 
 
-SPECS = [
-    ("H1", "anchoring_zero", "Chi-square"),
-    ("H2", "auto_renewal_off", "Chi-square"),
-    ("H4", "any_leave_signal", "Chi-square"),
-    ("H7", "payment_unknown", "Chi-square"),
-    ("H6", "Tenure_Years", "Mann-Whitney"),
-    ("H9", "total_negative_flags", "Mann-Whitney"),
-]
+_TESTED = {feature: (name, kind) for name, feature, kind in sc.HYPOTHESES}
+_NAME = "case feature " + " ".join(f"when '{f}' then '{n}'" for f, (n, _) in _TESTED.items()) + " end"
+_BINARY, _RANKED = ([f for f, (_, kind) in _TESTED.items() if kind == k] for k in ("Chi-square", "Mann-Whitney"))
 
 
 @query(
     "T07 S11 O05",
-    f"""select case feature when 'anchoring_zero' then 'H1' when 'auto_renewal_off' then 'H2'
-            else 'H4' end as hypothesis, feature, 'Chi-square' as test, round(p_value, 6) as p_value,
+    f"""select {_NAME} as hypothesis, feature, 'Chi-square' as test, round(p_value, 6) as p_value,
           round(cramers_v, 4) as effect_size, round(pct_0, 1) as churn_if_0,
           round(pct_1, 1) as churn_if_1, round(pct_1 / nullif(pct_0, 0), 2) as lift,
-          null::double as mean_retained, null::double as mean_churned, significant
-        from ({_CHI}) join ({_union([
+          null::double as mean_retained, null::double as mean_churned, p_value < 0.05 as significant
+        from ({_union([_chi_sql(f, 'tested') for f in _BINARY])}) join ({_union([
             f'''select '{f}' as f, avg(case when {f} = 0 then churn_label::double end) * 100 as pct_0,
-                avg(case when {f} = 1 then churn_label::double end) * 100 as pct_1 from features'''
-            for f in CHI_FEATURES[:3]])}) on f = feature
+                avg(case when {f} = 1 then churn_label::double end) * 100 as pct_1 from tested'''
+            for f in _BINARY])}) on f = feature
         union all
-        select case feature when 'Tenure_Years' then 'H6' else 'H9' end, feature, 'Mann-Whitney',
-          round(p_value, 6), round(effect_size_r, 4), null, null, null, round(mean_0, 3),
-          round(mean_1, 3), significant from ({_MW}) where feature <> 'Connection_Qty'""",
-    ["features"],
+        select {_NAME}, feature, 'Mann-Whitney', round({chi2_tail('z * z', '1')}, 6), round(effect_size_r, 4), null, null,
+          null, round(mean_0, 3), round(mean_1, 3), {chi2_tail('z * z', '1')} < 0.05
+        from ({_union([_mw_sql(f, 'tested') for f in _RANKED])})""",
+    ["tested"],
     ["p_value", "effect_size", "churn_if_0", "churn_if_1", "lift", "mean_retained", "mean_churned"],
 )
 def hypothesis_table(t: Tables) -> DataFrame:
-    """The feature table has no payment flag, so H7 is skipped like any absent feature."""
-    return hypothesis_summary(t.features, SPECS)
+    """All nine published hypotheses."""
+    return hypothesis_summary(hypothesis_features(t.bills, t.cc, t.rc, t.emails))
 
 
 @query(

@@ -13,6 +13,7 @@ from renewlens.functions import buckets
 from renewlens.functions import scalars as fn
 from renewlens.functions.scalars import flag, quoted
 from renewlens.operators.ladder import quantiles
+from renewlens.session import stage_counted
 
 KEY = ["Co_Ref", "Renewal_Year"]
 
@@ -80,26 +81,30 @@ def require_non_empty(df: DataFrame, what: str = "cohort") -> DataFrame:
     return df
 
 
-def guarded(df: DataFrame, base: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """``df`` whose plan fails when ``base`` has no row or when a key occurs twice in ``df``.
+def non_empty(base: DataFrame) -> DataFrame:
+    """``base`` written once, counted by the job that writes it; an empty one is an error.
+
+    All that is built on it reads the written rows, so its source is scanned once.
+    """
+    staged, n = stage_counted(base)
+    if n == 0:
+        raise ValueError("no rows in the post-renewal window")
+    return staged
+
+
+def unique_keys(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``df`` whose plan fails when a key occurs twice.
 
     The rows of a key meet for the count where the later joins on the key need them anyway.
     """
     per_key = F.count(F.lit(1)).over(Window.partitionBy(*key))
     text = F.concat_ws(" / ", *(F.col(c).cast("string") for c in key))
     twice = F.raise_error(F.concat(F.lit("repeated key: "), text)).cast("boolean")
-    unique = (
+    return (
         df.withColumn("_rows", per_key)
         .where(F.when(F.col("_rows") > 1, twice).otherwise(F.lit(True)))
         .drop("_rows")
     )
-    empty = F.raise_error(F.lit("no rows in the post-renewal window")).cast("boolean")
-    none = (
-        base.agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.when(F.col("_rows") == 0, empty).otherwise(F.lit(False)))
-        .select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields))
-    )
-    return unique.unionByName(none)
 
 
 def compound_yes(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
@@ -316,11 +321,14 @@ def build_billing_features(
 ) -> DataFrame:
     """Kept billing columns and the 13 derived features, one row per customer and year.
 
-    The run fails on an empty cohort and on a repeated key, unless ``check`` is off.
+    An empty cohort is an error here and a repeated key fails the run, unless ``check`` is off. The
+    check stages the cohort rows, which the quartiles and the result then read.
     """
     base = keep_columns(cohort_rows(bills, years, days), s.BILLING_KEEP)
+    if check:
+        base = non_empty(base)
     done = low_release_score(base, q25).withColumns(billing_flags())
-    return guarded(done, base) if check else done
+    return unique_keys(done) if check else done
 
 
 def composites(

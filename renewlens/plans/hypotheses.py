@@ -8,11 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from renewlens import schema as s
+from renewlens.operators import cohort as c
+from renewlens.operators.behaviour import build_email_features
 from renewlens.operators.profiling import feature_lift
 from renewlens.operators.stattests import chi_square_tests, mann_whitney_tests
+from renewlens.plans.features import build_cohort_features
 from renewlens.session import stage
 
 
+def hypothesis_features(
+    bills: DataFrame, cc: DataFrame, rc: DataFrame, emails: DataFrame, years: int | Sequence[int] | None = None
+) -> DataFrame:
+    """The feature table with what the hypotheses need besides: price, payment and e-mail columns.
+
+    These tell about the outcome or come after it, so they stay out of the model table. E-mail features
+    are one row per customer; a customer without e-mails has a share of 0.
+    """
+    table = build_cohort_features(bills, cc, rc, years)
+    billing = c.with_profiling_features(c.cohort_rows(bills, years)).select(*c.KEY, *s.PROFILING_TESTED)
+    mails = build_email_features(emails).select("Co_Ref", *s.EMAIL_TESTED)
+    joined = c.left_enrich(c.left_enrich(table, billing, c.KEY), mails, "Co_Ref")
+    return joined.fillna(0, subset=[*s.PROFILING_TESTED, *s.EMAIL_TESTED])
+
+
 def hypothesis_summary(
     df: DataFrame,
     specs: Sequence[tuple[str, str, str]] = tuple(s.HYPOTHESES),

@@ -198,6 +198,8 @@ HYPOTHESES = [
     ("H8", "email_pct_negative", "Mann-Whitney"),
     ("H9", "total_negative_flags", "Mann-Whitney"),
 ]
+#: Tested columns that the model table leaves out.
+PROFILING_TESTED, EMAIL_TESTED = ["price_increase_10pct", "payment_unknown"], ["email_pct_negative"]
 SUMMARY_HEADERS = {
     "hypothesis": "Hypothesis", "feature": "Feature", "test": "Test", "p_value": "p-value",
     "effect_size": "Effect Size", "churn_if_0": "Churn if 0", "churn_if_1": "Churn if 1",

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,6 +64,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`stage`, with the number of rows as the writing job has counted them on the way."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n_rows")))
+    return staged, seen.get["n_rows"]
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this application has staged; tables read from it are gone afterwards."""
     context = spark.sparkContext

@@ -132,6 +132,40 @@ def test_empty_cohort_raises(data):
     assert c.build_billing_features(data["billings"], 1990, check=False).count() == 0
 
 
+def test_the_checked_build_scans_its_source_once(spark, tmp_path, data):
+    """The rows are counted by the job that stages them; quartiles and result read what it wrote."""
+    data["billings"].write.parquet(str(tmp_path / "b"))
+    source = spark.read.parquet(str(tmp_path / "b"))
+    built = c.build_billing_features(source)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path / "b") not in plan and "stage-" in plan
+    lazy = c.build_billing_features(source, check=False, q25=1.0)
+    assert lazy._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/b") == 1
+    assert built.drop("low_release_score").exceptAll(lazy.drop("low_release_score")).count() == 0
+
+
+def test_joins_of_stored_tables_need_no_shuffle(spark, tmp_path, data):
+    cc, rc = b.build_cc_features(data["cc_calls"]), b.build_rc_features(data["renewal_calls"])
+    parts = {"base": c.cohort_rows(data["billings"]).select(*c.KEY), "cc": cc, "rc": rc}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = {n: src.write_keyed(df, f"keyed_{n}", str(tmp_path / n), 4) for n, df in parts.items()}
+        join = lambda p: c.left_enrich(c.left_enrich(p["base"], p["cc"], c.KEY), p["rc"], c.KEY)
+        plan = join(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "Exchange" in join(parts)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, join(stored).collect())) == sorted(map(str, join(parts).collect()))
+        grouped = stored["cc"].groupBy(*c.KEY).count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in grouped
+        again = src.write_keyed(parts["rc"].limit(0), "keyed_rc", str(tmp_path / "rc2"), 4)
+        assert again.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in parts:
+            spark.sql(f"drop table if exists keyed_{n}")
+
+
 def test_repeated_key_raises(data):
     twice = data["billings"].unionAll(data["billings"])
     with pytest.raises(Exception, match="repeated key"):
