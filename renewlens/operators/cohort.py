@@ -137,8 +137,13 @@ def left_enrich(base: DataFrame, feats: DataFrame, key: str | Sequence[str]) ->
 
 
 def restrict_to_cohort(calls: DataFrame, base: DataFrame, key: str = "Co_Ref") -> DataFrame:
-    """Rows whose key occurs in the cohort, as a semi join; keys are never collected."""
-    return calls.join(base.select(key).distinct(), key, "left_semi")
+    """Rows whose key occurs in the cohort, as a semi join; keys are never collected.
+
+    The keys go into the join as they are, so that the planner can also make a Bloom filter of them, of
+    bounded size, and drop most other calls before they are shuffled. It does so where the calls are
+    large and the cohort comes from a filtered scan; ``session.SESSION_CONF`` sets from which sizes on.
+    """
+    return calls.join(base.select(key), key, "left_semi")
 
 
 def attach_label_left(

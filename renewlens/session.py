@@ -16,6 +16,12 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # runtime Bloom filters of at most 16 MB before the shuffle of tables over 1 GB
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "8g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "16000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "134217728",
     # no call-site capture per column: plans here have hundreds of expressions
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -166,6 +166,47 @@ def test_joins_of_stored_tables_need_no_shuffle(spark, tmp_path, data):
             spark.sql(f"drop table if exists keyed_{n}")
 
 
+def shuffled_rows(df):
+    """Records that all shuffles of a query write, from the metrics of its static plan."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    total, queue = 0, [plan]
+    while queue:
+        node = queue.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        queue += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_other_calls_are_dropped_before_the_shuffle(spark, tmp_path):
+    """A large call table against a small cohort, with the runtime filter and without."""
+    spark.range(20_000).selectExpr("cast(id % 5000 as string) as Co_Ref", "id as n").write.parquet(str(tmp_path / "calls"))
+    spark.range(5_000).selectExpr("cast(id as string) as Co_Ref", "cast(id % 50 as int) as Renewal_Year").write.parquet(
+        str(tmp_path / "bills")
+    )
+    calls = spark.read.parquet(str(tmp_path / "calls"))
+    base = spark.read.parquet(str(tmp_path / "bills")).where("Renewal_Year = 7")
+    size = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    rows, plans, found, before = {}, {}, {}, spark.conf.get(size)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for limit in ("0", "10g"):
+            spark.conf.set(size, limit)
+            kept = c.restrict_to_cohort(calls, base)
+            plans[limit] = kept._jdf.queryExecution().executedPlan().toString()
+            rows[limit] = shuffled_rows(kept)
+            found[limit] = sorted(r["n"] for r in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set(size, before)
+    assert "might_contain" in plans["0"] and "might_contain" not in plans["10g"]
+    assert found["0"] == found["10g"] and len(found["0"]) == 400
+    assert rows["10g"] >= 20_000 and rows["0"] < 4_000
+
+
 def test_repeated_key_raises(data):
     twice = data["billings"].unionAll(data["billings"])
     with pytest.raises(Exception, match="repeated key"):
