@@ -13,6 +13,7 @@ from renewlens.checks.registry import Tables, query
 from renewlens.operators import cohort as c
 from renewlens.operators import explain as x
 from renewlens.operators import model as m
+from renewlens.plans import deployment as d
 from renewlens.plans.scoring import predictions, sorted_predictions
 from renewlens.session import shared_dir, stage
 
@@ -123,6 +124,18 @@ def score_cohort(t: Tables) -> DataFrame:
     return sorted_predictions(predictions(df, model, 0.3))
 
 
+@query("S12 M15 X10")
+def score_unlabelled_cohort(t: Tables) -> DataFrame:
+    """Trained on the years before the last, deployed with a manifest, read back for the last without labels."""
+    df = stage(t.features)
+    last = df.agg(F.max("Renewal_Year")).first()[0]
+    past = df.where(F.col("Renewal_Year") < last)
+    names, path = c.model_feature_names(df), f"{shared_dir(t.spark)}/deployed-{uuid.uuid4().hex}"
+    d.deploy(m.train_gbt(past, names, QUICK), past, QUICK, 0.3, path)
+    cohort = df.where(F.col("Renewal_Year") == last).drop("churn_label", "outcome_post_renewal")
+    return sorted_predictions(d.score_deployed(cohort, path))
+
+
 # --- parts without a learner, on arrays and scores made from table columns ----------------------
 
 _PARTS = {

@@ -12,6 +12,8 @@ from renewlens.functions import buckets, scalars as fn
 from renewlens.operators import behaviour as b
 from renewlens.operators import cohort as c
 from renewlens.operators import profiling as p
+from renewlens.operators import sketches as sk
+from renewlens.session import stage
 
 CHURNED = "Prospect_Outcome = 'Churned'"
 INVENTORY = {
@@ -229,6 +231,37 @@ def key_overlap(t: Tables) -> DataFrame:
     return p.key_overlap(t.emails, t.bills)
 
 
+@query(
+    "P18 P19",
+    """select 'rc' as name, cast(Call_Year as varchar) as year, count(*) as n_rows, count(distinct Co_Ref) as n_keys
+         from rc group by 2
+       union all select 'rc', 'all', count(*), count(distinct Co_Ref) from rc
+       union all select 'rc and cc', 'all', (select count(*) from rc),
+         (select count(*) from (select Co_Ref from rc where Co_Ref is not null intersect select Co_Ref from cc))""",
+    ["rc", "cc"],
+)
+def stored_key_sketches(t: Tables) -> DataFrame:
+    """Keys of each year, of all years and common keys, from stored sketches; exact below 16,384 keys."""
+    rc, cc = (stage(sk.key_sketches(df, ["Call_Year"])) for df in (t.rc, t.cc))
+    total = sk.merge_keys(rc)
+    both = total.join(sk.sketched_overlap(total, sk.merge_keys(cc)).select("n_both"))  # one row each
+    row = lambda name, year, n: [F.lit(name).alias("name"), year.cast("string").alias("year"), "n_rows", n.alias("n_keys")]
+    return (
+        rc.select(*row("rc", F.col("Call_Year"), sk.distinct_keys()))
+        .unionByName(total.select(*row("rc", F.lit("all"), sk.distinct_keys())))
+        .unionByName(both.select(*row("rc and cc", F.lit("all"), F.col("n_both"))))
+    )
+
+
+@query("P20 P23 P24 E10")
+def stored_value_sketches(t: Tables) -> DataFrame:
+    """Quartiles of the scores per year and of all years, from stored sketches."""
+    years = stage(sk.value_sketches(t.scored, ["Renewal_Year"], "score"))
+    parts = [years.withColumn("year", F.col("Renewal_Year").cast("string")), sk.merge_values(years).withColumn("year", F.lit("all"))]
+    cuts = [sk.sketched_quantile(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
+    return parts[0].select("year", "n_rows", *cuts).unionByName(parts[1].select("year", "n_rows", *cuts))
+
+
 _COVERAGE = """select *,
       case when Co_Ref in (select Co_Ref from cc where Co_Ref is not null) then 1 else 0 end as has_cc,
       case when Co_Ref in (select Co_Ref from rc where Co_Ref is not null) then 1 else 0 end as has_rc

@@ -84,6 +84,18 @@ def write_features(df: DataFrame, path: str, partition_by: str | None = "Renewal
     writer.parquet(path)
 
 
+def refresh_features(df: DataFrame, path: str, partition_by: str = "Renewal_Year") -> None:
+    """Replace the years that ``df`` has in a stored feature table; the files of other years stay.
+
+    Features of a year depend on that year's rows alone (quartiles included), so a new year, or a year
+    with late calls, is built by itself with ``years=[...]`` and refreshed here.
+    """
+    ints = [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    filled = df.fillna(0, subset=[c for c in ints if c != partition_by])
+    writer = filled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(partition_by).parquet(path)
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
