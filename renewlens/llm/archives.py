@@ -79,7 +79,8 @@ def _open(content: bytes) -> io.BufferedReader:
 def _arc_entries(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of every record, version blocks left out.
 
-    A version block says which fields follow; before the first one the number of fields decides.
+    A version block says which fields follow. A header of ten fields with a date in its place is one of
+    version 2 anywhere; without a version block all others are of version 1.
     """
     with _open(content) as stream:
         fields = None
@@ -87,9 +88,12 @@ def _arc_entries(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             parts = line.decode("utf-8", "replace").split()
             if not parts:
                 continue
-            names = fields
-            if parts[0].startswith("filedesc:") or names is None or len(parts) != len(names):
-                names = FIELDS[2] if len(parts) == len(FIELDS[2]) else FIELDS[1]
+            if len(parts) == len(FIELDS[2]) and parts[2].isdigit():
+                names = FIELDS[2]
+            else:
+                names = fields if fields and len(parts) >= len(fields) else FIELDS[1]
+            # blanks in front belong to the address
+            parts = line.decode("utf-8", "replace").strip().rsplit(None, len(names) - 1)
             if len(parts) != len(names) or not parts[-1].isdigit():
                 raise ValueError(f"not an ARC header: {line[:200]!r}")
             head = dict(zip(names, parts))
@@ -106,8 +110,11 @@ def _arc_entries(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def _split_http(block: bytes) -> tuple[bytes, bytes]:
     if not block.startswith(b"HTTP/"):
         return b"", block
-    head, mark, payload = block.partition(b"\r\n\r\n")
-    return head + mark, payload
+    ends = [(at, mark) for mark in (b"\r\n\r\n", b"\n\n") if (at := block.find(mark)) >= 0]
+    if not ends:
+        return block, b""
+    at, mark = min(ends)
+    return block[:at + len(mark)], block[at + len(mark):]
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +126,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def rows(content: bytes) -> Iterator[tuple]:
         for head, block in _arc_entries(content):
             http, payload = _split_http(block)
-            page = next((x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.startswith(_PAGE.encode())), b"")
+            page = next((x.partition(b":")[2].strip() for x in http.splitlines() if x.startswith(_PAGE.encode())), b"")
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             yield (int(page) if page else None, head["url"], head["date"], head["type"], http, payload, digest, len(payload))
 
@@ -156,17 +163,19 @@ def warc_records(entries: DataFrame) -> DataFrame:
     """(value): a WARC record for every ARC entry.
 
     Of entries with equal payloads the one with the largest page_id is a response, the others are
-    revisits of it without payload; entries without page_id are responses and are never referred to.
-    Identifiers are name-based on page, address and digest, so a rerun writes the same.
+    revisits of it without payload, those without page_id too. If none of them has a page_id, all are
+    responses. Identifiers are name-based on page and digest, so a rerun writes the same; without page_id
+    the place among the entries stands for it.
     """
     newest = entries.groupBy("digest", "size").agg(F.max("page_id").alias("newest"))
     joined = entries.join(newest, ["digest", "size"])
     slim = joined.select(
         "page_id", "url", "date", "type", "http", "digest", "size", "newest",
-        F.when(F.coalesce(F.col("page_id") == F.col("newest"), F.lit(True)), F.col("payload")).alias("payload"),
+        F.when(F.col("page_id").eqNullSafe(F.col("newest")), F.col("payload")).alias("payload"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
-    def record(page, url, date, kind, http, digest, size, newest, payload) -> str:
+    def record(page, url, date, kind, http, digest, size, newest, payload, place) -> str:
         name = lambda p: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{p} {digest}')}>"
         revisit = payload is None
         block, coding = http + (payload or b""), None
@@ -177,7 +186,7 @@ def warc_records(entries: DataFrame) -> DataFrame:
         day = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
         head = [
             ("WARC-Type", "revisit" if revisit else "response"),
-            ("WARC-Record-ID", name(page)), ("WARC-Date", day), ("WARC-Target-URI", url),
+            ("WARC-Record-ID", name(f"place {place}" if page is None else page)), ("WARC-Date", day), ("WARC-Target-URI", url),
             ("WARC-Payload-Digest", f"sha1:{digest}"),
             ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
             ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" if revisit else None),

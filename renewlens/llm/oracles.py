@@ -133,8 +133,8 @@ select page_id, size::bigint as payload_bytes,
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
       + 16 * substr(bits, 5 * i + 1, 1)::int + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int
       + 2 * substr(bits, 5 * i + 4, 1)::int + substr(bits, 5 * i + 5, 1)::int, 1)), 'string_agg', '') as payload_digest,
-  case when page_id = newest then 'response' else 'revisit' end as record_type,
-  case when page_id = newest then null else newest end as refers_to
+  case when page_id is not distinct from newest then 'response' else 'revisit' end as record_type,
+  case when page_id is not distinct from newest then null else newest end as refers_to
 from q
 """
 

@@ -21,16 +21,17 @@ KINDS = ("email", "ip", "phone", "card", "ssn", "iban", "date")
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Candidates; each is validated before it counts. Order decides where two could start at one place.
+#: Digits are those of ASCII. The name of an address has 64 characters at most, so no run of letters is
+#: gone through more than 64 times. Candidates; each is validated before it counts. Order decides where two could start at one place.
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?<![\w/.-])(?P<date>\d{4}(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)\d{4})(?![\w/]|[.-]\d)"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w+])(?P<card>\d(?:[\x20-]?\d){12,18})(?!\w)"
-    r"|(?<![\w+])(?P<phone>(?:\+?1[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}"
-    r"|\+\d(?:[\x20().-]{0,2}\d){7,14})(?!\w)"
+    r"(?P<email>[A-Za-z0-9._%+-]{0,63}[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+    r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
+    r"|(?<![\w/.-])(?P<date>[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?![\w/]|[.-][0-9])"
+    r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
+    r"|(?<![\w+])(?P<card>[0-9](?:[\x20-]?[0-9]){12,18})(?!\w)"
+    r"|(?<![\w+])(?P<phone>(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}"
+    r"|\+[0-9](?:[\x20().-]{0,2}[0-9]){7,14})(?!\w)"
 )
 _WORTH = re.compile(r"[0-9@]")
 #: Days of a date stay within its span: the last two centuries, or what lies around them.

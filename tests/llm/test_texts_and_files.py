@@ -3,6 +3,7 @@
 import gzip
 import os
 import random
+import time
 import re
 from collections import Counter
 
@@ -61,6 +62,38 @@ def test_pseudonyms_keep_formats_and_links():
     assert iban[:2] == "GB" and p.replace("iban", iban) and pseudonyms._mod97(iban[4:] + iban[:4]) == 1
 
 
+def test_digits_of_other_scripts_are_no_numbers():
+    """They stay as they are and are not counted, whatever kind they look like."""
+    p = pseudonyms.Pseudonyms(KEY)
+    for text in ("٥٥٥-٢٣٤-٥٦٧٨", "４１１１ １１１１ １１１１ １１１１", "१२३-४५-६७८९", "१.२.३.४", "२०२४-०१-०२"):
+        counts = Counter()
+        assert p.text(f"a {text} b", counts) == f"a {text} b" and not counts
+
+
+def test_long_runs_take_linear_time():
+    p, took = pseudonyms.Pseudonyms(KEY), []
+    for text in ("a" * 1_000_000 + "1", "a1" * 500_000 + "@", "7" * 1_000_000, "a@" + "b." * 500_000):
+        began = time.process_time()
+        p.text(text, Counter())
+        took.append(time.process_time() - began)
+    assert max(took) < 60
+
+
+def test_no_valid_number_is_left(spark):
+    """An independent scan: of planted values none is left, and every count is one of them."""
+    rng, p = random.Random(9), pseudonyms.Pseudonyms(KEY)
+    for _ in range(200):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = body + str(pseudonyms.luhn(body))
+        ssn = f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+        phone = f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        mail = "".join(rng.choice("abcdefgh") for _ in range(9)) + "@mail.example"
+        counts = Counter()
+        new = p.text(f"x {card}, {ssn}; {phone} {mail}.", counts)
+        assert not any(old in new for old in (card, ssn, phone, mail))
+        assert counts == {"card": 1, "ssn": 1, "phone": 1, "email": 1}
+
+
 def test_pseudonymise_documents(docs, nothing, spark):
     texts = [
         None, "", "no numbers", "mail aacdo.87@mail4.example.com, ip 16.195.23.156 and 16.195.23.156.",
@@ -99,11 +132,20 @@ def test_archives_round_trip(spark, tmp_path):
     for r in got:
         t = "same" if r.page_id is None else text[r.page_id]
         assert r.payload_bytes == len(t.encode())
-        if r.page_id is None or r.page_id == newest[t]:
+        if r.page_id == newest[t]:
             assert (r.record_type, r.refers_to, bytes(r.payload).decode()) == ("response", None, t)
         else:
             assert (r.record_type, r.refers_to, r.payload) == ("revisit", newest[t], None)
     assert len(ids) == len(text) + 1
+    # payloads that no page with an id has: none to refer to, and records of their own
+    loose = spark.createDataFrame([(None, "u", "x"), (None, "u", "x"), (3, "v", "y"), (None, "w", "y")], pages.schema)
+    archives.write_arc(loose, f"{tmp_path}/arc1")
+    archives.convert(spark, f"{tmp_path}/arc1", f"{tmp_path}/warc1")
+    got = archives.read_warc(spark, f"{tmp_path}/warc1").collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == [
+        ("3", "response", "None"), ("None", "response", "None"), ("None", "response", "None"), ("None", "revisit", "3")
+    ]
+    assert len({r.record_id for r in got}) == 4
     archives.write_arc(pages.limit(0), f"{tmp_path}/arc0")
     archives.convert(spark, f"{tmp_path}/arc0", f"{tmp_path}/warc0")
     assert archives.read_warc(spark, f"{tmp_path}/warc0").count() == 0
@@ -121,6 +163,16 @@ def test_arc_versions_and_damage():
         list(archives._arc_entries(b"not a header\n"))
 
 
+def test_blanks_in_addresses_and_heads_of_bare_line_feeds():
+    first = b"filedesc://a 0.0.0.0 20000101000000 text/plain 9\n1 0 x\nURL\n"
+    blank = b"http://a/b c d 1.1.1.1 20000101000000 text/html 2\nhi\n"
+    got = list(archives._arc_entries(first + blank))
+    assert [(h["url"], h["ip"], b) for h, b in got] == [("http://a/b c d", "1.1.1.1", b"hi")]
+    assert archives._split_http(b"HTTP/1.0 200 OK\nX: 1\n\nbody\r\n\r\nmore") == (b"HTTP/1.0 200 OK\nX: 1\n\n", b"body\r\n\r\nmore")
+    assert archives._split_http(b"HTTP/1.0 200 OK\r\nX: 1\r\n\r\nbody\n\n") == (b"HTTP/1.0 200 OK\r\nX: 1\r\n\r\n", b"body\n\n")
+    assert archives._split_http(b"HTTP/1.0 200 OK\r\n") == (b"HTTP/1.0 200 OK\r\n", b"")
+
+
 def test_binary_payload_survives(spark, tmp_path):
     entries = spark.createDataFrame(
         [(1, "http://a", "20000101000000", "image/gif", bytearray(), bytearray(b"GIF\x00\xff"), "D", 5)],
