@@ -115,6 +115,27 @@ def test_blocks_of_leaves_add_up(spark, frame, model):
     assert x.explain(frame.limit(0), model).count() == 0
 
 
+def test_a_model_of_600_trees_is_explained_in_blocks(spark, frame, model):
+    """The trees of the small model a hundred times over: contributions still add up to the log-odds."""
+    from pyspark import SparkContext
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassificationModel
+
+    context, whole = SparkContext._active_spark_context, m.booster(model)
+    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, 600)
+    weights = context._gateway.new_array(context._jvm.double, 600)
+    java_trees = whole._java_obj.trees()
+    for i in range(600):
+        trees[i], weights[i] = java_trees[i % 6], whole.treeWeights[i % 6] / 100
+    java = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel("many", trees, weights)
+    many = PipelineModel([model.stages[0], GBTClassificationModel(java).setFeaturesCol(m.FEATURES)])
+    got = x.explain(frame, many, block_entries=4_000).toPandas().set_index("Co_Ref")
+    p = m.score(frame, many).toPandas().set_index("Co_Ref").loc[got.index, m.SCORE]
+    assert np.allclose(got[x.CONTRIBUTIONS].map(sum) + got[x.BASE], np.log(p / (1 - p)), atol=1e-6)
+    small = m.score(frame, model).toPandas().set_index("Co_Ref").loc[got.index, m.SCORE]
+    assert np.allclose(p, small, atol=1e-9)
+
+
 def test_long_paths_by_orderings():
     """Paths of up to 16 features, shares of zero among them, against the sums over orderings."""
     rng = np.random.default_rng(5)
