@@ -23,7 +23,7 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The blank's stand-in in pieces, and the form of byte pieces (fixed values).
 BLANK, BYTE = "▁", "<0x{:02X}>"
 #: Bytes of text worked on at once, and pieces between blanks that are encoded in one text.
-SLICE, TOGETHER = 4 << 20, 64
+SLICE, TOGETHER = 2 << 20, 64
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
