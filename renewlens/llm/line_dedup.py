@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from renewlens.llm.frames import shield, text_key
 from renewlens.llm.text import WORD
-from renewlens.session import stage
+from renewlens.session import stage, stage_counted
 
 #: A chunk ends after about every DIVISOR-th line; a chunk of fewer than MIN_LINES lines stays.
 DIVISOR, MIN_LINES = 3, 2
@@ -74,6 +74,17 @@ def _pairs(docs: DataFrame) -> DataFrame:
     )
 
 
+def _place() -> Column:
+    """Order of the occurrences of a chunk; the first one stays."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "at")
+
+
+def _is_copy() -> Column:
+    """Whether an occurrence stands after ``first`` and does not overlap it."""
+    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
+    return (_place() != F.col("first")) & ~(inside & (F.col("at") == F.col("first.at") + 1))
+
+
 def _for_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Join per-document results by doc_id (null meets null) and fingerprint.
 
@@ -84,36 +95,37 @@ def _for_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(found.hint("merge"), on, how).drop("_id", "_tk")
 
 
+def _by_bytes(docs: DataFrame, hits: DataFrame, clash: DataFrame) -> DataFrame:
+    """``hits`` under the hashes of ``clash``, with copies told by the bytes of their lines."""
+    apart = hits.join(clash, "hash", "left_semi").drop("copy")
+    ranges = apart.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("hash", "at", "until")).alias("r"))
+    rows = _for_doc(docs, ranges, "inner").select("doc_id", "tk", F.split("text", "\n").alias("lines"), F.explode("r").alias("r"))
+    texts = stage(rows.select("r.hash", "doc_id", "tk", "r.at", "r.until", _joined(F.col("lines"), F.col("r")).alias("chunk")))
+    firsts = texts.groupBy("hash", "chunk").agg(F.min(_place()).alias("first"))
+    return texts.join(firsts, ["hash", "chunk"]).withColumn("copy", _is_copy()).select(*hits.columns)
+
+
 def repeated(docs: DataFrame, occurrences: Callable[[DataFrame], DataFrame] = _occurrences) -> DataFrame:
     """(doc_id, tk, cuts): line ranges of chunks that stand earlier in the corpus, from doc_id, tk, text.
 
-    Chunks meet by hash, and only those whose hash comes again are fetched as text. Their bytes are
-    compared: one text under a hash makes all its occurrences copies, several are kept apart. Of equal
-    chunks the first stays: smallest doc_id (nulls last), fingerprint, line. ``occurrences`` gives the
-    chunks; a pair of lines that shares a line with the first one is no copy of it.
+    Chunks meet by hash. Those whose hash comes again are fetched as text, and the different texts
+    under a hash are counted: one makes all its occurrences copies, several are told apart by their
+    bytes. Of equal chunks the first stays: smallest doc_id (nulls last), fingerprint, line.
+    ``occurrences`` gives the chunks; a pair of lines that shares a line with the first one is no copy.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "at")
     seen = stage(occurrences(docs))
-    often = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    often = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).where("n > 1").drop("n")
     # merged at every size: these grow with the corpus like the per-document results
-    again = (
-        seen.join(often.hint("merge"), "hash").groupBy("doc_id", "tk")
-        .agg(F.collect_set(F.struct("hash", "at", "until")).alias("again"))
-    )
-    fetched = _for_doc(docs, again, "inner").select("doc_id", "tk", F.split("text", "\n").alias("lines"), F.explode("again").alias("r"))
-    texts = stage(fetched.select("r.hash", "doc_id", "tk", "r.at", "r.until", _joined(F.col("lines"), F.col("r")).alias("chunk")))
-    firsts = texts.groupBy("hash", "chunk").agg(F.min(place).alias("first"))
-    # the number of texts under a hash decides whether the hash stands for the bytes
-    by_hash = stage(firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")))
-    same = texts.drop("chunk").join(by_hash.where("texts = 1").select("hash", "first").hint("merge"), "hash")
-    apart = texts.join(by_hash.where("texts > 1").select("hash"), "hash", "left_semi")
-    other = apart.join(apart.groupBy("chunk").agg(F.min(place).alias("first")), "chunk").select(*same.columns)
-    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
-    return (
-        same.unionByName(other)
-        .where((place != F.col("first")) & ~(inside & (F.col("at") == F.col("first.at") + 1)))
-        .groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "until")).alias("cuts"))
+    hits = stage(
+        seen.join(often.hint("merge"), "hash").select("hash", "doc_id", "tk", "at", "until", _is_copy().alias("copy"))
     )
+    again = hits.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("hash", "at", "until")).alias("again"))
+    fetched = _for_doc(docs, again, "inner").select(F.split("text", "\n").alias("lines"), F.explode("again").alias("r"))
+    texts = fetched.select("r.hash", _joined(F.col("lines"), F.col("r")).alias("chunk")).distinct()
+    clash, n = stage_counted(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash"))
+    if n:
+        hits = hits.join(clash, "hash", "left_anti").unionByName(_by_bytes(docs, hits, clash))
+    return hits.where("copy").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "until")).alias("cuts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -137,34 +149,59 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     }).drop("tk", "cuts", "lines", "starts", "ends")
 
 
+def _beyond(cuts: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Occurrences of pairs of adjacent lines, but for those inside the repeated chunks ``cuts``."""
+    inner = cuts.select(
+        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.explode("cuts").alias("c")
+    ).select("_id", "_tk", F.explode(F.sequence(F.col("c.at"), F.col("c.until") - 1)).alias("_at"))
+
+    def occurrences(docs: DataFrame) -> DataFrame:
+        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")) & (F.col("at") == F.col("_at"))
+        return _pairs(docs).join(inner.hint("merge"), on, "left_anti")
+
+    return occurrences
+
+
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, with ``text`` left without repeated runs of lines and two counts added.
 
     A run of two or more lines is repeated if its lines stand in the same order, with nothing between
     them, earlier in the corpus; a line goes if a pair of adjacent lines over it stands earlier, which
-    is the same, since each pair of a repeated run does. A pair of blank lines alone is no run. Counts,
-    nulls and equal rows are as in :func:`dedup_lines`.
+    is the same, since each pair of a repeated run does. A pair of blank lines alone is no run.
+
+    Content-defined chunks are compared first. What is left to compare is pairs of lines: those inside
+    first or single chunks and those over a boundary. They grow the repeated chunks to whole runs and
+    find runs without a chunk of their own. Pairs inside a repeated chunk need no comparison, since
+    the first chunk of its text has them too, so a passage copied whole is compared as chunks alone.
+    Counts, nulls and equal rows are as in :func:`dedup_lines`.
     """
     keyed = docs.withColumn("tk", text_key())
-    cuts = stage(repeated(keyed.select("doc_id", "tk", "text"), _pairs))
+    slim = keyed.select("doc_id", "tk", "text")
+    whole = stage(repeated(slim))
+    rest = stage(repeated(slim, _beyond(whole)))
+    cuts = whole.unionByName(rest).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
     found = _for_doc(keyed, cuts, "left").withColumn("lines", lines)
-    gone = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["at"], c["until"]))))
-    stays = F.array_except(F.sequence(F.lit(1), F.size("lines")), gone)
+    found = found.withColumn("full", F.transform("lines", lambda x: x.rlike(WORD)))
+    pairs = F.flatten(F.transform("cuts", lambda c: F.sequence(c["at"], c["until"] - 1)))
+    pairs = F.filter(pairs, lambda i: F.element_at("full", i) | F.element_at("full", i + 1))
+    gone = F.array_distinct(F.flatten(F.transform(pairs, lambda i: F.array(i, i + 1))))
+    found = found.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
+    stays = F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("gone"))
     left = F.array_join(F.transform(stays, lambda i: F.element_at("lines", i)), "\n")
     return found.withColumns({
         "n_lines": F.size("lines").cast("long"),
-        "n_removed_lines": F.when(F.col("cuts").isNull(), 0).otherwise(F.size(gone)).cast("long"),
-        "text": F.when(F.col("cuts").isNull(), F.col("text")).otherwise(left),
-    }).drop("tk", "cuts", "lines")
+        "n_removed_lines": F.size("gone").cast("long"),
+        "text": F.when(F.size("gone") == 0, F.col("text")).otherwise(left),
+    }).drop("tk", "cuts", "lines", "full", "gone")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without repeated chunks, with the columns of ``docs``.
+    """Documents without repeated runs of lines, with the columns of ``docs``.
 
     A document that had words and is left without any goes: all its lines stand in earlier documents.
     """
     inner, restore = shield(docs, "doc_id", "text")
-    found = dedup_lines(inner)
+    found = dedup_runs(inner)
     emptied = (F.col("n_removed_lines") > 0) & ~F.col("text").rlike(WORD)
     return restore(found.where(~F.coalesce(emptied, F.lit(False))))

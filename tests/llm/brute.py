@@ -150,6 +150,20 @@ def dedup_lines(rows):
     return out
 
 
+def dedup_runs(rows):
+    """rows: (doc_id, text), ids set -> {doc_id: (n_removed_lines, text)}; pairs of lines in order of place."""
+    seen, out = {}, {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        lines, gone = [] if t is None else t.split("\n"), set()
+        for i in range(len(lines) - 1):
+            if words(lines[i]) or words(lines[i + 1]):
+                at = seen.setdefault((lines[i], lines[i + 1]), (d, i))
+                if at != (d, i) and at != (d, i - 1):
+                    gone.update((i, i + 1))
+        out[d] = (len(gone), t if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
 def targets(sizes):
     """sizes: source -> words; targets by resharing until none is above three times its size."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]

@@ -199,6 +199,39 @@ def test_line_runs_leave_no_passage(spark):
     assert line_dedup.dedup_lines(docs).where("doc_id >= 100").agg(F.sum("n_removed_lines")).first()[0] < 120
 
 
+def test_line_runs_of_whole_documents(narrow, rows):
+    """Nulls, empty, blank and long texts, repeated rows: equal to the pairs of lines in order of place."""
+    got = {r.doc_id: (r.n_removed_lines, r.text) for r in line_dedup.dedup_runs(narrow.select("doc_id", "text")).collect()}
+    assert got == brute.dedup_runs(by_id(rows))
+    assert sum(n for n, _ in got.values()) > 40
+
+
+def test_line_runs_compare_bytes(narrow, rows, monkeypatch):
+    """With a hash of three values all chunks and pairs clash; the outcome stays."""
+    real = F.xxhash64
+
+    def weak(*columns):
+        return F.pmod(real(*columns), F.lit(3)) if columns and not isinstance(columns[0], str) else real(*columns)
+
+    some = [r for r in by_id(rows) if r[0] < 80]
+    monkeypatch.setattr(line_dedup.F, "xxhash64", weak)
+    monkeypatch.setattr(line_dedup, "text_key", lambda: F.hash("text").cast("long"))
+    found = line_dedup.dedup_runs(narrow.where("doc_id < 80").select("doc_id", "text"))
+    assert {r.doc_id: (r.n_removed_lines, r.text) for r in found.collect()} == brute.dedup_runs(some)
+
+
+def test_line_runs_empty_tables_clashing_names_and_repeated_rows(spark, nothing):
+    """An empty table stays empty; other columns come back under any name; equal rows are one document."""
+    assert line_dedup.without_repeats(nothing).count() == 0
+    text = "\n".join(f"line {i} of some words" for i in range(12))
+    rows = [(1, text, "a", 1), (1, text, "a", 1), (2, text + "\nown", "b", 2), (None, text + "\nnull id", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cuts string, lines int")
+    out = line_dedup.without_repeats(docs.withColumnRenamed("cuts", "gone"))
+    assert out.columns == ["doc_id", "text", "gone", "lines"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(
+        [(1, text, "a", 1), (1, text, "a", 1), (2, "own", "b", 2), (None, "null id", "c", 3)], key=repr)
+
+
 def test_line_dedup_stage(docs, nothing):
     out = line_dedup.without_repeats(docs)
     assert out.schema == docs.schema

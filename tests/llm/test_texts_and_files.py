@@ -254,9 +254,9 @@ def test_pipeline_against_plain_versions(spark):
         if k == 0:
             ids = {r[0] for r in brute.quality(rows, 20, 0.1, 0.3) if r[-1]}
         elif k == 1:
-            done = {r[0]: r for r in brute.dedup_lines(plain)}
-            kept = {d: (s, done[d][4]) for d, (s, _) in kept.items()}
-            ids = {d for d, r in done.items() if not r[3] or brute.words(r[4])}
+            done = brute.dedup_runs(plain)
+            kept = {d: (s, done[d][1]) for d, (s, _) in kept.items()}
+            ids = {d for d, (n, t) in done.items() if not n or brute.words(t)}
         elif k == 2:
             ids = {r[0] for r in brute.near(plain) if r[3]}
         elif k == 3:
