@@ -6,6 +6,7 @@ Built-in expressions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,8 @@ SAMPLE_DOCS = 1000
 SMOOTH, BACK_OFF = 0.5, 8.0
 
 _MARK, _OTHER = "\u0001", "\u0002"
+#: Beyond any position.
+_FAR = 2**31 - 1
 
 
 def _keyword(text: Column) -> Column:
@@ -54,28 +57,79 @@ def _has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Running totals of an array of integers under ``merge``, as long as the array.
+
+    Blocks of about the square root of its size are summed up each and then among each other, so that
+    no array grows step by step over its whole length.
+    """
+    none = F.array().cast("array<int>")
+
+    def totals(xs: Column) -> Column:
+        last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(zero))
+        return F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(merge(last(acc), x).cast("int"))))
+
+    def of_blocks(blocks: Column) -> Column:
+        return _let(totals(F.transform(blocks, lambda b: F.element_at(b, -1))), lambda ends: F.flatten(F.transform(
+            blocks, lambda b, k: _let(F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(zero)), lambda before: F.transform(
+                b, lambda x: merge(before, x).cast("int"))))))
+
+    def scanned(xs: Column) -> Column:
+        return _let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda width: _let(F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")),
+            lambda k: totals(F.slice(xs, k * width + 1, width))), of_blocks))
+
+    return _let(values, lambda xs: F.when(F.size(xs) > 0, scanned(xs)).otherwise(none))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, s>>: leftmost non-overlapping matches, in code points, end exclusive.
 
-    Matches are set in marks and the text is cut at them; lengths of the pieces give positions. A
-    mark that stands in the text is replaced before by another control character.
+    Matches are set in marks and the text is cut at them; running lengths of the pieces give positions.
+    A mark that stands in the text is replaced before by another control character.
     """
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        until = acc["at"] + F.length(piece)
-        span = F.struct(acc["at"].alias("start"), until.alias("end"), piece.alias("s"))
-        return F.struct(
-            until.alias("at"), (~acc["odd"]).alias("odd"),
-            F.when(acc["odd"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
 
-    found = F.aggregate(F.split(marked, _MARK), start, step, lambda acc: acc["out"])
+    def placed(pieces: Column) -> Column:
+        return _let(running(F.transform(pieces, F.length), lambda a, b: a + b, 0), lambda ends: F.transform(
+            F.sequence(F.lit(1), F.floor(F.size(pieces) / 2).cast("int")),
+            lambda k: F.struct(
+                F.get(ends, 2 * k - 2).alias("start"), F.get(ends, 2 * k - 1).alias("end"),
+                F.get(pieces, 2 * k - 1).alias("s"))))
+
+    found = _let(F.split(marked, _MARK), lambda pieces: F.when(F.size(pieces) > 2, placed(pieces)).otherwise(none))
     return F.when(_has(text, pattern), found).otherwise(none)
 
 
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that no base span overlaps.
+
+    All spans are put in order once. Of the base spans that start before a candidate the largest end
+    decides, of the others the smallest start.
+    """
+    order = lambda xs, none: F.transform(xs, lambda x: F.struct(
+        x["start"].alias("start"), F.lit(none).alias("model"), x["end"].alias("end"), x["s"].alias("s")))
+
+    def judged(both: Column) -> Column:
+        ends = F.transform(both, lambda x: F.when(x["model"], F.lit(0)).otherwise(x["end"]))
+        starts = F.reverse(F.transform(both, lambda x: F.when(x["model"], F.lit(_FAR)).otherwise(x["start"])))
+        least = F.reverse(running(starts, lambda a, b: F.least(a, b), _FAR))
+        marked = F.zip_with(
+            F.zip_with(both, running(ends, lambda a, b: F.greatest(a, b), 0), lambda x, e: F.struct(x.alias("x"), e.alias("e"))),
+            least, lambda y, n: F.struct(y["x"].alias("x"), (y["x"]["model"] & (y["e"] <= y["x"]["start"]) & (n >= y["x"]["end"])).alias("free")))
+        return F.transform(F.filter(marked, lambda m: m["free"]), lambda m: F.struct(
+            m["x"]["start"].alias("start"), m["x"]["end"].alias("end"), m["x"]["s"].alias("s")))
+
+    mixed = _let(F.array_sort(F.concat(order(base, False), order(candidates, True))), judged)
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), mixed).otherwise(candidates)
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """Add the span arrays assign, access and hex; a null text has none."""
     text = F.coalesce("text", F.lit(""))
@@ -91,13 +145,19 @@ def samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     """(random, s): labelled strings of a bounded sample of documents.
 
     Random strings are the values of base spans, ordinary identifiers the shorter runs of any
-    documents. Each sort comes from the ``limit`` documents of smallest hash.
+    documents. Each sort comes from the ``limit`` documents of smallest hash, equal rows once. The hashes
+    alone are put in order; texts are read again where they are needed.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(text.alias("text"), F.xxhash64("text", "doc_id").alias("h"))
     found = reduce(lambda a, b: a | b, (_has(F.col("text"), p) for p in (ASSIGN, ACCESS, HEX)))
-    secret = base_spans(rows.where(found).orderBy("h").limit(limit).select("text"))
-    plain = rows.orderBy("h").limit(limit)
+
+    def smallest(some: DataFrame) -> DataFrame:
+        last = some.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+        return some.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
+
+    secret = base_spans(smallest(rows.where(found)).select("text"))
+    plain = smallest(rows)
     assigned = F.transform("assign", lambda x: F.regexp_extract(x["s"], ASSIGN, 2))
     values = F.concat(assigned, F.transform("access", lambda x: x["s"]), F.transform("hex", lambda x: x["s"]))
     return secret.select(F.lit(True).alias("random"), F.explode(values).alias("s")).unionByName(
@@ -160,9 +220,8 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = T
         model = train(samples(docs))
     text = F.coalesce("text", F.lit(""))
     found = base_spans(docs).withColumn("model", spans(text, CANDIDATE))
-    base = F.concat("assign", "access", "hex")
-    free = lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return found.withColumn("model", F.filter("model", lambda x: free(x) & (ratio(x["s"], model) >= threshold)))
+    free = _apart(F.col("model"), F.concat("assign", "access", "hex"))
+    return found.withColumn("model", F.filter(free, lambda x: ratio(x["s"], model) >= threshold))
 
 
 KINDS = ("assign", "access", "hex", "model")

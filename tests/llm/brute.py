@@ -196,6 +196,17 @@ def secrets(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(rows))
 
 
+def model_spans(text, alphabet, model, threshold):
+    """Runs of 20 symbols or more that no base span overlaps and whose steps add up to the threshold."""
+    k, out = len(alphabet), []
+    base = [tuple(map(int, x.split(":")[1:])) for x in secrets(text).split(",") if x]
+    for m in re.finditer("[" + re.escape(alphabet) + "]{20,}", text or ""):
+        steps = sum(round(1000 * model[alphabet.index(a) * k + alphabet.index(b)]) for a, b in zip(m.group(), m.group()[1:]))
+        if steps >= 1000 * threshold and not any(a < m.end() and m.start() < b for a, b in base):
+            out.append((m.start(), m.end()))
+    return out
+
+
 def best_tokens(token, scores, floor):
     """Highest score and its token counts by trying all splits from the left."""
     best = [(0.0, 0)]

@@ -389,6 +389,35 @@ def test_secrets_base(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secret_model_spans_equal_a_plain_version(spark):
+    """Base spans and candidates that overlap in all ways, control characters, code points beyond one byte."""
+    import random
+
+    rng = random.Random(3)
+    model = [rng.uniform(-1, 1) for _ in range(len(secrets.ALPHABET) ** 2)]
+    words = ["password=", "token: ", "foo/bar/", "AKIA", "TOKEN=", "\u0001é", "é😀 ", " ", "\n"]
+    kinds = ["ABCDEF0123456789", "0123456789abcdef", secrets.ALPHABET]
+    texts = [None, "", "\u0001"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(40)):
+            symbols = rng.choice(kinds)
+            parts += [rng.choice(words), "".join(rng.choice(symbols) for _ in range(rng.randrange(3, 40))), rng.choice(["", " "])]
+        texts.append("".join(parts))
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, -2.0)
+    got = {r.doc_id: [(x.start, x.end) for x in r.model] for r in found.select("doc_id", "model").collect()}
+    assert got == {i: brute.model_spans(t, secrets.ALPHABET, model, -2.0) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_secrets_of_a_text_of_many_spans(spark):
+    """A text of 600 KB with 16,000 base spans, all of them candidates too."""
+    text = " ".join(f"{(i * 2654435761) % 2**64:032x}" for i in range(1, 16_001))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.scan(docs, [0.0] * len(secrets.ALPHABET) ** 2).select(F.size("hex"), F.size("model"), secrets.listed(("hex",))).first()
+    assert row[:2] == (16_000, 0) and row[2] == brute.secrets(text)
+
+
 def test_secret_model_on_held_out_strings(spark):
     import random
 
