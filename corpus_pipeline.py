@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that stand earlier in the corpus; emptied ones go."""
+    """Documents without runs of lines that stand earlier in the corpus; emptied ones go."""
     return without_repeats(docs)
 
 
