@@ -44,28 +44,24 @@ r as (select doc_id, i, count(*) over (partition by doc_id, gram) as n from g),
 rep as (
   select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 3)) as k from r where n > 1) group by doc_id),
 l as (
-  select doc_id, host, t, l, len(regexp_extract_all(l, '{_WORD}')) as nw
-  from (select doc_id, host, t, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '{_WORD}')),
-dup as (select doc_id, count(*) - count(distinct l) as n from l group by doc_id),
-u as (select host, t, min(doc_id) as doc_id from d group by host, t),
-hn as (select host, count(*) as host_docs from u group by host),
-n as (select l.host, l.t, l.doc_id, {_NORMAL} as line, nw from l join u on l.host = u.host and l.doc_id = u.doc_id),
-x as (select host, line, t, min(doc_id) as doc_id, sum(nw) as nw from n group by host, line, t),
+  select doc_id, host, i, l, len(regexp_extract_all(l, '{_WORD}')) as nw, {_NORMAL} as line
+  from (select doc_id, host, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as i from d)),
+dup as (select doc_id, count(*) - count(distinct l) as n from l where nw > 0 group by doc_id),
 c as (
-  select x.host, line, arg_min(t, doc_id) as first_t from x join hn on x.host = hn.host group by x.host, line, host_docs
-  having count(*) > 20 and count(*) > host_docs * 0.10::double),
-lost as (
-  select x.host, x.t, sum(nw) as lost from x join c on x.host = c.host and x.line = c.line and x.t <> c.first_t
-  group by x.host, x.t),
+  select host, line, min(doc_id) as first from l where nw > 0 group by host, line having count(distinct doc_id) > 20),
+k as (
+  select l.doc_id, coalesce(string_agg(l, chr(10) order by i) filter (where c.line is null or l.doc_id = first), '') as left_text,
+    coalesce(sum(nw) filter (where c.line is not null and l.doc_id <> first), 0) as lost
+  from l left join c on l.host = c.host and l.line = c.line and nw > 0 group by l.doc_id),
 f as (
   select doc_id, len(w)::bigint as n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
     length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
-    coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
-    coalesce(lost.lost, 0)::bigint as lost
-  from d left join rep using (doc_id) left join dup using (doc_id) left join lost on lost.host = d.host and lost.t = d.t),
+    coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, lost::bigint as lost, left_text
+  from d left join rep using (doc_id) left join dup using (doc_id) left join k using (doc_id)),
 z as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and (lost = 0 or n_words - lost >= n_words * 0.30::double) as kept, n_words - lost as words_left
+  not base_failed and n_words - lost >= n_words * 0.30::double as kept, n_words - lost as words_left,
+  sha256(left_text) as left_sha256
 from z
 """
 
@@ -179,6 +175,7 @@ ORACLES = {
     "op7_archives": ARCHIVES,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op5_quality_rules": QUALITY,
+    "op5_host_lines": QUALITY,
     "op9_decontaminate": DECONTAMINATE,
     "op10_line_chunks": LINE_CHUNKS,
 }

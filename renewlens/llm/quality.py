@@ -19,8 +19,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Characters counted as symbols (fixed by the contract).
 SYMBOLS = b"#*$%&|<>"
 
-#: A line is boilerplate on a host if more distinct documents hold it than both of these allow.
-MIN_DOCS, MAX_SHARE = 20, 0.10
+#: A line is boilerplate on a host if more documents than this hold it, whatever the size of the host.
+MIN_DOCS = 20
 #: A document is depleted if less than this share of its words stays.
 MIN_LEFT = 0.30
 
@@ -116,113 +116,6 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
 
-def _line_table(docs: DataFrame) -> DataFrame:
-    """(host, line, tk, doc_id, w): hashed lines of each document of a host, staged.
-
-    Copies of a document and repeats of a line fall together; w is the sum of their words.
-    """
-    base = docs.select("doc_id", _host().alias("host"), text_key().alias("tk"), F.explode(_lines(F.col("text"))).alias("line"))
-    rows = base.select(
-        "doc_id", "host", "tk", F.xxhash64(normal_line(F.col("line"))).alias("line"),
-        count_words(F.col("line")).alias("w"),
-    )
-    return stage(rows.groupBy("host", "line", "tk").agg(F.min("doc_id").alias("doc_id"), F.sum("w").alias("w")))
-
-
-def _copies(docs: DataFrame) -> DataFrame:
-    """(host, tk, copies): distinct documents of each host, staged."""
-    keys = docs.where(F.col("text").isNotNull()).select(_host().alias("host"), text_key().alias("tk"))
-    return stage(keys.groupBy("host", "tk").agg(F.count(F.lit(1)).alias("copies")))
-
-
-def _shared_lines(seen: DataFrame, copies: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, tk, line, w): lines to take out of documents.
-
-    For each host and line distinct documents are counted, exact copies once. A line over
-    ``min_docs`` and over ``max_share`` of the host's documents is taken out of all of them but the
-    first, which has the smallest doc_id (nulls last), then fingerprint.
-    """
-    hosts = copies.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
-    shared = (
-        seen.groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.min(first).alias("first"))
-        .where(F.col("n_docs") > min_docs)
-        .join(hosts, "host")
-        .where(F.col("n_docs") > F.col("host_docs") * F.lit(max_share))
-        .select("host", "line", F.col("first.tk").alias("first_tk"))
-    )
-    return (
-        seen.join(shared, ["host", "line"])
-        .where(F.col("tk") != F.col("first_tk"))
-        .select("host", "tk", "line", "w")
-    )
-
-
-def depleted(
-    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
-    """(host, tk, words_left, depleted): documents that lose words with their host's shared lines.
-
-    A document is told by host and fingerprint of its text, so exact copies share a verdict.
-    """
-    seen, copies = _line_table(docs), _copies(docs)
-    lost = _shared_lines(seen, copies, min_docs, max_share).groupBy("host", "tk").agg(F.sum("w").alias("lost"))
-    total = seen.groupBy("host", "tk").agg(F.sum("w").alias("all"))
-    return lost.join(total, ["host", "tk"]).join(copies, ["host", "tk"]).select(
-        "host", "tk", ((F.col("all") - F.col("lost")) / F.col("copies")).cast("long").alias("words_left"),
-        (F.col("all") - F.col("lost") < F.col("all") * F.lit(min_left)).alias("depleted"),
-    )
-
-
-def base_failed() -> Column:
-    """Short or repetitive text (thresholds fixed by the contract)."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
-def quality(
-    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
-    """All columns of ``docs`` with the text counts, base_failed, words_left and kept.
-
-    words_left is the number of words outside the host's shared lines. A null or empty text fails
-    the base rules. Columns of ``docs`` under these names have to be shielded by the caller.
-    """
-    verdict = depleted(docs, min_docs, max_share, min_left)
-    stats = text_stats(docs.withColumns({"host": _host(), "tk": text_key()}))
-    return (
-        stats.join(verdict, ["host", "tk"], "left")
-        .withColumn("words_left", F.coalesce("words_left", "n_words"))
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("depleted"), F.lit(False)))
-        .drop("host", "tk", "depleted")
-    )
-
-
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """Documents that pass, with the columns of ``docs``."""
-    inner, restore = shield(docs, "doc_id", "text", "source")
-    return restore(quality(inner, **limits).where("kept"))
-
-
-def remove_shared_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE
-) -> DataFrame:
-    """Documents with their host's shared lines cut out of the text, columns as in ``docs``."""
-    inner, restore = shield(docs, "doc_id", "text", "source")
-    cut = (
-        _shared_lines(_line_table(inner), _copies(inner), min_docs, max_share)
-        .groupBy("host", "tk").agg(F.collect_set("line").alias("cut"))
-    )
-    keep = F.filter(
-        F.split("text", "\n"),
-        lambda x: ~(x.rlike(WORD) & F.array_contains("cut", F.xxhash64(normal_line(x)))),
-    )
-    out = inner.withColumns({"host": _host(), "tk": text_key()}).join(cut, ["host", "tk"], "left")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    return restore(out.withColumn("text", text))
-
-
 def _host_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     """(host, tk, doc_id, line, first): lines that over ``min_docs`` documents of a host hold.
 
@@ -245,10 +138,39 @@ def _host_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    """Short or repetitive text (thresholds fixed by the contract)."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _without(found: DataFrame) -> DataFrame:
+    """``found`` with the lines of ``text`` whose hash in _lines is one of _gone cut out, without both columns.
+
+    _lines holds a hash for each line of the text, null for a line without a word.
+    """
+    names = [c for c in found.columns if c not in ("_lines", "_gone")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = batch.column("text")
+            if batch.column("_lines").null_count < batch.num_rows:
+                lines, gone, left = batch.column("_lines"), batch.column("_gone"), texts.to_pylist()
+                for i in np.flatnonzero(pc.is_valid(lines).to_numpy(zero_copy_only=False)).tolist():
+                    out = pc.is_in(lines[i].values, gone[i].values, skip_nulls=True).to_numpy(zero_copy_only=False)
+                    left[i] = "\n".join([x for x, cut in zip(left[i].split("\n"), out.tolist()) if not cut])
+                texts = pa.array(left, pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names=names)
+
+    return found.mapInArrow(run, found.select(*names).schema)
+
+
 def cut_host_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """All columns of ``docs`` as in :func:`quality`, with the lines of many documents cut out of ``text``.
+    """All columns of ``docs`` with the text counts, base_failed, words_left and kept.
 
-    A line that over ``min_docs`` documents of a host hold goes from all of them but the first.
+    A line that over ``min_docs`` documents of a host hold is cut out of ``text`` in all of them but
+    the first; words_left is the number of words then left. A document is kept if it passes the base
+    rules and at least ``min_left`` of its words stay. A null or empty text fails the base rules.
+    Columns of ``docs`` under the new names have to be shielded by the caller.
     """
     cut = _host_lines(docs, min_docs).groupBy("host", "tk").agg(
         F.first("doc_id").alias("_least"), F.collect_set("line").alias("_all"),
@@ -257,18 +179,14 @@ def cut_host_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float =
     stats = text_stats(docs.withColumns({"host": _host(), "tk": text_key()}))
     found = stats.join(cut, ["host", "tk"], "left").withColumn(
         "_gone", F.when(F.col("doc_id").eqNullSafe(F.col("_least")), F.col("_rest")).otherwise(F.col("_all"))
-    )
-    keep = F.filter(
-        F.split("text", "\n"),
-        lambda x: ~(x.rlike(WORD) & F.array_contains("_gone", F.xxhash64(normal_line(x)))),
-    )
-    some = F.coalesce(F.size("_gone") > 0, F.lit(False))
+    ).drop("host", "tk", "_least", "_all", "_rest")
+    some = F.size("_gone") > 0
+    hashes = F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(WORD), F.xxhash64(normal_line(x))))
+    left = _without(found.withColumn("_lines", F.when(some, hashes)))
     return (
-        found.withColumn("text", F.when(some, F.array_join(keep, "\n")).otherwise(F.col("text")))
-        .withColumn("words_left", F.when(some, count_words(F.col("text"))).otherwise(F.col("n_words")))
+        left.withColumn("words_left", count_words(F.col("text")))
         .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & ~(some & (F.col("words_left") < F.col("n_words") * F.lit(min_left))))
-        .drop("host", "tk", "_least", "_all", "_rest", "_gone")
+        .withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.col("n_words") * F.lit(min_left)))
     )
 
 

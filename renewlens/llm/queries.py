@@ -15,7 +15,7 @@ from renewlens.llm.mixing import mix
 from renewlens.llm.neardup import near_duplicates
 from renewlens.llm.pseudonyms import KINDS as PERSONAL
 from renewlens.llm.pseudonyms import pseudonymise
-from renewlens.llm.quality import STATS, cut_host_lines, quality
+from renewlens.llm.quality import STATS, cut_host_lines
 from renewlens.llm.secrets import listed, scan
 from renewlens.llm.spelling import spelling_variants
 from renewlens.llm.substrings import dedup_substrings
@@ -52,11 +52,6 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    found = quality(_table(spark, folder, "documents", "doc_id", "source", "text"))
-    return found.select("doc_id", *STATS, "base_failed", "kept", "words_left")
-
-
-def op5_host_lines(spark: SparkSession, folder: str) -> DataFrame:
     found = cut_host_lines(_table(spark, folder, "documents", "doc_id", "source", "text"))
     return found.select(
         "doc_id", *STATS, "base_failed", "kept", "words_left",
@@ -64,6 +59,10 @@ def op5_host_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_host_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return op5_quality_rules(spark, folder)
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan(_table(spark, folder, "documents", "doc_id", "text"))
     base = ("assign", "access", "hex")

@@ -76,27 +76,25 @@ def text_stats(text):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(hit))
 
 
-def quality(rows, min_docs, max_share, min_left):
-    """rows: (doc_id, source, text) -> list of (doc_id, *stats, base_failed, kept)."""
-    hosts, holders = defaultdict(set), defaultdict(dict)
+def quality(rows, min_docs, min_left):
+    """rows: (doc_id, source, text) -> list of (doc_id, *stats, base_failed, kept, text left)."""
+    holders = defaultdict(set)
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[1-9]", "0", x.translate(UPPER))).strip(" ")
     for d, s, t in rows:
-        if t is not None:
-            hosts[s].add(t)
-            for line in t.split("\n"):
-                if words(line):
-                    h = holders[s, norm(line)]
-                    h[t] = min(h.get(t, (True, 0)), (d is None, d or 0))
+        for line in (t or "").split("\n"):
+            if words(line):
+                holders[s, norm(line)].add(d)
     out = []
     for d, s, t in rows:
         stats = text_stats(t)
         failed = stats[0] < 50 or 100 * stats[4] > 50 * stats[0]
-        lost = 0
+        left = []
         for line in (t or "").split("\n"):
-            h = holders.get((s, norm(line)), {})
-            if words(line) and len(h) > min_docs and len(h) > max_share * len(hosts[s]) and min(h, key=h.get) != t:
-                lost += len(words(line))
-        out.append((d, *stats, failed, not failed and stats[0] - lost >= stats[0] * min_left))
+            h = holders.get((s, norm(line)), ()) if words(line) else ()
+            if len(h) <= min_docs or min(h) == d:
+                left.append(line)
+        text = None if t is None else "\n".join(left)
+        out.append((d, *stats, failed, not failed and len(words(text)) >= stats[0] * min_left, text))
     return out
 
 

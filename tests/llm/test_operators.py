@@ -81,23 +81,20 @@ def test_decontaminate_removal(docs, rows, items, nothing):
 
 
 def test_quality(narrow, rows):
-    limits = dict(min_docs=5, max_share=0.08, min_left=0.5)
+    limits = dict(min_docs=5, min_left=0.5)
     expected = sorted(brute.quality(rows, **limits), key=repr)
-    got = collected(quality.quality(narrow, **limits), "doc_id", *quality.STATS, "base_failed", "kept")
+    got = collected(quality.cut_host_lines(narrow, **limits), "doc_id", *quality.STATS, "base_failed", "kept", "text")
     assert got == expected
-    assert any(not r[-2] and not r[-1] for r in expected)  # depleted ones are among them
+    assert any(not r[-3] and not r[-2] for r in expected)  # depleted ones are among them
+    texts = {d: t for d, _, t in rows}
+    assert sum(r[-2] and r[-1] != texts[r[0]] for r in expected) > 5  # and kept ones that lost lines
 
 
 def test_quality_keeps_columns(docs, rows, nothing):
-    kept = quality.keep_good(docs)
+    kept = quality.keep_clean(docs, min_docs=5)
     assert kept.schema == docs.schema
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute.quality(rows, 20, 0.1, 0.3) if r[-1]}
-    assert quality.keep_good(nothing).count() == 0
-    cut = quality.remove_shared_lines(docs, min_docs=2, max_share=0.05)
-    assert cut.schema == docs.schema and cut.count() == docs.count()
-    line = "All Rights reserved 1999"
-    before, after = (sum((r.text or "").count(line) for r in df.collect()) for df in (docs, cut))
-    assert 0 < after < before
+    assert {r.doc_id: r.text for r in kept.collect()} == {r[0]: r[-1] for r in brute.quality(rows, 5, 0.3) if r[-2]}
+    assert quality.keep_clean(nothing).count() == 0
 
 
 def test_host_lines_at_every_host_size(spark):
@@ -115,14 +112,6 @@ def test_host_lines_at_every_host_size(spark):
     assert all(got[i].text == f"own words {i} and {i + 1}" and got[i].words_left == 5 for i in range(1, 30))
     assert got[1800].text == "page line one\npage line two" and all(got[i].text == "" for i in range(1801, 1830))
     assert all(got[i].text == t for i, h, t in rows if h != "pages" and (h != "big" or i >= 30))
-    # the rule of both limits leaves the banner and the copied page
-    assert quality.depleted(docs).count() == 0
-
-
-def test_clean_documents_keep_columns(docs, nothing):
-    kept = quality.keep_clean(docs, min_docs=5)
-    assert kept.schema == docs.schema and 0 < kept.count() < docs.count()
-    assert quality.keep_clean(nothing).count() == 0
 
 
 def test_line_dedup(narrow, rows):
