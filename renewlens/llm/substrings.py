@@ -3,7 +3,8 @@
 Texts are cut into fragments at minimizers: all windows of one fragment share the smallest hash of
 their inner word n-grams. Equal windows have equal minimizers, so they meet in the shard of that
 hash. Each shard builds a compressed index of its distinct fragments, and the fragments of all
-documents stream past it by backward search.
+documents stream past it by backward search. Windows under a hash that is too common for one shard are
+sent one by one, each to the shard of the hash of all its words, so equal ones still meet.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ BUFFER_BYTES = 24 << 20
 #: Shards per shuffle partition at least, and bytes of text for a shard on average at most. Fragments hold about
 #: three times the text.
 SHARDS_PER_PARTITION, SHARD_BYTES = 2, 64 << 20
+#: Anchors are counted by buckets of their hash; the windows of a bucket with more fragment bytes are sent one by one.
+BUCKETS, HOT_BYTES = 1 << 22, 256 << 20
+#: Bytes of text whose fragments a task counts at once.
+COUNT_BYTES = 32 << 20
 
 _CODEC = "zstd"
 _LEVEL = 3
@@ -69,12 +74,19 @@ def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def _fragments(found: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor, identity) of each run of windows with one anchor in one text."""
+def _fragments(
+    found: Words, window: int, anchor: int, hot: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, key, identity) of each run of windows with one key in one text.
+
+    The key of a window is its anchor, or the hash of all its words if its anchor's bucket is in ``hot``.
+    """
     hashes = found.hashes()
     if len(hashes) < window:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     low, doc = _anchors(hashes, window, anchor), found.doc[: len(hashes) - window + 1]
+    if hot is not None and len(hot):
+        low = np.where(np.isin(low % np.uint64(BUCKETS), hot), gram_hashes(hashes, window), low)
     inside = inside_text(found, window)
     new = np.ones(len(low), dtype=bool)
     new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
@@ -82,7 +94,7 @@ def _fragments(found: Words, window: int, anchor: int) -> tuple[np.ndarray, np.n
     bounds = np.flatnonzero(new | ~inside)
     after = np.append(bounds, len(low))[np.searchsorted(bounds, first) + 1]
     count = after - first
-    # identity: a hash of the words of the fragment, its length and its anchor
+    # identity: a hash of the words of the fragment, its length and its key
     sums = np.zeros(len(hashes) + 1, np.uint64)
     weights = mix(np.arange(1, 2, dtype=np.uint64))[0] | np.uint64(1)
     np.cumsum(hashes * _geometric(int(weights), len(hashes)), out=sums[1:])
@@ -102,7 +114,48 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return found[:n]
 
 
-def _packets(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
+def hot_buckets(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit: int | None = None) -> np.ndarray:
+    """Sorted buckets of anchors whose fragments hold over ``limit`` bytes, or over half of it.
+
+    A task that counts b of all B bytes of text leaves out its buckets under limit * b / 2B bytes. All
+    that is left out of a bucket sums to less than half the limit, so none over the limit is missed.
+    The result has at most :data:`BUCKETS` numbers at any size of the corpus.
+    """
+    limit = limit or HOT_BYTES
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if got:
+                bucket, size = (np.concatenate(x) for x in zip(*got))
+                sums = np.bincount(bucket, size, BUCKETS)
+                often = np.flatnonzero((sums > 0) & (sums >= limit * held / (2 * total)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(often, pa.int64()), pa.array(sums[often].astype(np.int64))], names=["bucket", "size"]
+                )
+            got.clear()
+
+        for batch in slices(batches, "text", 1 << 20):
+            found = words(batch.column("text"))
+            held += int(found.first[-1])
+            first, count, low, _ = _fragments(found, window, anchor)
+            begin = np.concatenate([[0], np.cumsum(found.end - found.start + 1)])
+            size = begin[first + count + window - 1] - begin[first]
+            got.append(((low % np.uint64(BUCKETS)).astype(np.int64), size))
+            if held > COUNT_BYTES:
+                yield from flush()
+                held = 0
+        yield from flush()
+
+    sums = docs.select("text").mapInArrow(run, "bucket long, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
+    rows = sums.where(F.col("size") >= limit / 2).select("bucket").toArrow()
+    return np.sort(rows.column("bucket").to_numpy()).astype(np.uint64)
+
+
+def _packets(docs: DataFrame, shards: int, window: int, anchor: int, hot: np.ndarray) -> DataFrame:
     """Fragments of all documents, packed per shard, and ranges that a packet decides by itself.
 
     Within a slice of documents equal fragments are sent once, for the smallest doc_id. Its other
@@ -139,7 +192,7 @@ def _packets(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFram
 
         for batch in slices(batches, "text", 1 << 20):
             found = words(batch.column("text"))
-            first, count, low, identity = _fragments(found, window, anchor)
+            first, count, low, identity = _fragments(found, window, anchor, hot)
             if not len(first):
                 continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -202,7 +255,7 @@ def _shard_ranges(table: pa.Table, window: int) -> pa.Table:
         often = values[times > 1]
     for i, low in zip(anchors, lows):
         take = np.flatnonzero(np.isin(low, often))
-        if len(take):  # an anchor that came once has no equal window elsewhere
+        if len(take):  # a key that came once has no equal window elsewhere
             _, doc, tag, first, n_words, size, data = _unpack(bodies[i].as_py(), sizes[i], lengths[i], _KINDS)
             start = np.cumsum(size.astype(np.int64)) - size
             kept.append((doc[take], tag[take], first[take], n_words[take], size[take], _gather(data, start[take], size[take].astype(np.int64))))
@@ -215,9 +268,7 @@ def _shard_ranges(table: pa.Table, window: int) -> pa.Table:
 def _search(doc, tag, first, n_words, size, data, window: int) -> tuple:
     """Index the distinct fragments, stream all of them past it, keep windows of smaller documents."""
     offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    if offsets[-1] >= 1 << 31:
-        raise ValueError("a shard holds over 2 GB of fragments: raise the number of shards")
-    whole = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    whole = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     coded = whole.dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)
     distinct = coded.dictionary
@@ -226,7 +277,7 @@ def _search(doc, tag, first, n_words, size, data, window: int) -> tuple:
     lengths = np.zeros(len(distinct), np.int64)
     lengths[which] = n_words
     # words as numbers from 1, a 0 after each fragment
-    found = words(distinct.cast(pa.string()))
+    found = words(distinct.cast(pa.large_string()))
     ids, symbols = found.ids()
     ends = np.cumsum(lengths + 1)
     text = np.zeros(int(ends[-1]), np.int64)
@@ -262,17 +313,20 @@ def shard_count(docs: DataFrame) -> int:
     return max(least, -(-total // SHARD_BYTES))
 
 
-def copied_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shards: int | None = None) -> DataFrame:
+def copied_ranges(
+    docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shards: int | None = None, hot_bytes: int | None = None
+) -> DataFrame:
     """(doc_id, tag, first, n): windows of each document that start in a document with a smaller id.
 
     ``tag`` is a part of the text's fingerprint and keeps rows with one id and several texts apart.
-    Rows without doc_id or text take no part. ``shards`` bounds the memory of a task, but for
-    one anchor that very many fragments share: by default it follows the bytes of text.
+    Rows without doc_id or text take no part. ``shards`` bounds the memory of a task and by default follows
+    the bytes of text; ``hot_bytes`` is the limit of :func:`hot_buckets`, whose anchors no shard holds alone.
+    The result is the same for all values of both.
     """
     shards = shards or shard_count(docs)
     tag = text_key().bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     known = docs.where("doc_id is not null and text is not null").select("doc_id", tag.alias("tag"), "text")
-    packets = _packets(known, shards, window, anchor)
+    packets = _packets(known, shards, window, anchor, hot_buckets(known, window, anchor, hot_bytes))
     return packets.groupBy("shard").applyInArrow(lambda table: _shard_ranges(table, window), _RANGES)
 
 

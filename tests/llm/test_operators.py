@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,40 @@ def test_substring_shards_follow_the_text(spark, narrow, rows, monkeypatch):
     assert substrings.shard_count(narrow.limit(0)) == least
 
 
+def test_substring_anchors_of_many_fragments_are_split(spark, narrow, rows):
+    """A phrase in a third of all rows, in differing contexts, and a passage: no key keeps all of it, the result stays."""
+    phrase, passage = "the very common phrase", " ".join(f"p{i}" for i in range(30))
+    extra = [(1000 + i, "s", f"{' '.join(f'x{i}y{k}' for k in range(20))} {phrase} z{i} {passage} {i % 7} end of text {i % 5}") for i in range(300)]
+    docs = narrow.union(spark.createDataFrame(extra, narrow.schema)).repartition(6)
+    hot = substrings.hot_buckets(docs, limit=8_000)
+    assert 0 < len(hot) < 100 and len(substrings.hot_buckets(docs, limit=1 << 40)) == 0
+    want = sorted(brute.substrings(by_id(rows + extra)), key=repr)
+    for limit in (1, 8_000):
+        found = substrings.dedup_substrings(docs, shards=50, hot_bytes=limit)
+        assert collected(found, "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)) == want
+    found = substrings.words(pa.array([t for _, _, t in rows + extra]))
+    unlike = []
+    for buckets in (None, hot):
+        *_, key, identity = substrings._fragments(found, 13, 4, buckets)
+        pairs = {*zip(key.tolist(), identity.tolist())}
+        unlike.append(max(Counter(k for k, _ in pairs).values()))
+    assert unlike[0] > 200 and unlike[1] < 120, unlike
+
+
+def test_substring_counts_miss_no_hot_bucket(narrow, monkeypatch):
+    """Tasks leave out small counts; every bucket over the limit is found, none under half of it."""
+    exact = {}
+    monkeypatch.setattr(substrings, "BUCKETS", 64)
+    for (text,) in narrow.where("text is not null").select("text").collect():
+        found = substrings.words(pa.array([text]))
+        first, count, low, _ = substrings._fragments(found, 13, 4)
+        for f, n, h in zip(first.tolist(), count.tolist(), (low % 64).tolist()):
+            exact[h] = exact.get(h, 0) + int((found.end - found.start + 1)[f:f + n + 12].sum())
+    limit = sorted(exact.values())[len(exact) // 2]
+    got = set(substrings.hot_buckets(narrow.repartition(9), limit=limit).tolist())
+    assert {h for h, n in exact.items() if n > limit} <= got <= {h for h, n in exact.items() if n >= limit / 2}
+
+
 def test_substrings_rows_without_id_and_repeated_rows(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(5, text), (5, text), (None, text), (7, text + " tail"), (5, "other " + text)]
