@@ -154,6 +154,26 @@ def test_archives_round_trip(spark, tmp_path):
     assert archives.read_warc(spark, f"{tmp_path}/warc0").count() == 0
 
 
+def test_archives_are_compressed_at_level_four(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, "u", " ".join(f"<p>{w}</p>" for w in rng.choices(words, k=800))) for i in range(200)]
+    archives.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), f"{tmp_path}/arc")
+    archives.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    for kind in ("arc", "warc"):
+        size, at = 0, Counter()
+        for f in os.listdir(f"{tmp_path}/{kind}"):
+            if f.endswith(".gz"):
+                with open(f"{tmp_path}/{kind}/{f}", "rb") as file:
+                    content = file.read()
+                size += len(content)
+                for level in (1, 4, 6):
+                    at[level] += len(gzip.compress(gzip.decompress(content), level))
+        assert min(at, key=lambda level: abs(at[level] - size)) == 4, (kind, size, at)
+    got = archives.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: html for i, _, html in rows}
+
+
 def test_arc_versions_and_damage():
     body = b"GIF\x00\xff"
     one = b"filedesc://a 0.0.0.0 20000101000000 text/plain 9\n1 0 x\nURL\nhttp://a 1.1.1.1 20000101000000 image/gif 5\n" + body + b"\n"
